@@ -18,7 +18,7 @@ def utc_text_to_micros(text: Column) -> Column:
     """
     t = F.trim(text)
     zoned = t.rlike(r":\d\d(\.\d+)?\s*(Z|[+-]\d\d(:?\d\d)?)$")
-    iso = F.when(zoned, t).when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(t, F.lit("T00:00:00Z"))).when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d"), F.concat(t, F.lit("Z")))
+    iso = F.when(zoned, t).when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(t, F.lit("T00:00:00Z"))).when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d\d?:\d\d$"), F.concat(t, F.lit(":00Z"))).when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d"), F.concat(t, F.lit("Z")))
     return F.unix_micros(iso.try_cast("timestamp"))
 
 
