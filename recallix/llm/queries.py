@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallix.llm.near_duplicates import group_pairs, near_duplicates
 from recallix.llm.similar_vectors import similar_vectors
 from recallix.sources.tables import table
 
@@ -19,6 +20,21 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_vectors(rows[0].unionByName(rows[1]).unionByName(rows[2])).select("src", "id_a", "id_b")
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found}
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "knowledge_items").select(F.lit("knowledge_items").alias("src"), "id", "text")
+    return items.unionByName(table(spark, folder, "fact_triples").select(F.lit("fact_triples").alias("src"), "id", F.col("object").alias("text")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair within a group of near-duplicates of knowledge_items.text or fact_triples.object."""
+    return group_pairs(near_duplicates(_texts(spark, folder)))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of each record that has near-duplicates."""
+    return near_duplicates(_texts(spark, folder)).withColumnRenamed("group", "group_id")
+
+
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups}
 
 SQL: dict[str, str] = {}
