@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallix.llm.name_variants import name_variants
 from recallix.llm.near_duplicates import group_pairs, near_duplicates
 from recallix.llm.similar_vectors import similar_vectors
 from recallix.sources.tables import table
@@ -35,6 +36,21 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_texts(spark, folder)).withColumnRenamed("group", "group_id")
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups}
+def _same_names(spark: SparkSession, folder: str) -> DataFrame:
+    return name_variants(table(spark, folder, "graph_entities"), table(spark, folder, "given_names"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of graph_entities rows that name the same person or organisation."""
+    groups = _same_names(spark, folder).withColumn("src", F.lit("graph_entities"))
+    return group_pairs(groups).select("id_a", "id_b")
+
+
+def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of each row that shares its person or organisation with another."""
+    return _same_names(spark, folder).withColumnRenamed("group", "group_id")
+
+
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_groups": p7_groups}
 
 SQL: dict[str, str] = {}
