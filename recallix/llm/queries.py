@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallix.llm import mixing, tokenizer
 from recallix.llm.name_variants import name_variants
 from recallix.llm.near_duplicates import group_pairs, near_duplicates
 from recallix.llm.similar_vectors import similar_vectors
+from recallix.session import checkpoint
 from recallix.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +53,46 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _same_names(spark, folder).withColumnRenamed("group", "group_id")
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_groups": p7_groups}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The byte_bpe_50k token ids of each document's text."""
+    return tokenizer.encode(table(spark, folder, "documents"), ["doc_id"], "text")
+
+
+def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents come back from their token ids as they were."""
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = tokenizer.encode(docs, ["doc_id"], "text").select("doc_id", tokenizer.decode(F.col("ids")).alias("back"))
+    return docs.join(back, "doc_id").agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("text") == F.col("back"), 1)).alias("equal"))
+
+
+def _mix_plan(spark: SparkSession, folder: str) -> dict[str, dict]:
+    targets = mixing.read_targets(table(spark, folder, "mix_targets"))
+    sized = tokenizer.token_counts(table(spark, folder, "documents").where(F.col("source").isin(*targets)), ["source"], "text")
+    return mixing.plan_shares({r.source: r.tokens for r in sized.collect()}, targets)  # a row for each source of the targets
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources of mix_targets whose share is out of reach."""
+    return spark.createDataFrame([(s,) for s, p in sorted(_mix_plan(spark, folder).items()) if p["out_of_reach"]], "source string")
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, dict]]:
+    docs = table(spark, folder, "documents").where("source is not null")
+    sized = tokenizer.encode(docs, ["doc_id", "source"], "text").select("doc_id", "source", F.size("ids").alias("tokens"))
+    plan = _mix_plan(spark, folder)
+    return mixing.mix(checkpoint(sized.where(F.col("source").isin(*plan))), plan, "doc_id", "source", "tokens"), plan
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document of the mix, with how often it is used."""
+    return _mixed(spark, folder)[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """For each source of mix_targets the share it reached."""
+    return mixing.report(*_mixed(spark, folder))
+
+
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 SQL: dict[str, str] = {}
