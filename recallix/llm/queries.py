@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallix.llm import mixing, tokenizer
+from recallix.llm.languages import document_segments, wrong_labels
 from recallix.llm.name_variants import name_variants
 from recallix.llm.near_duplicates import group_pairs, near_duplicates
 from recallix.llm.similar_vectors import similar_vectors
@@ -93,6 +94,16 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(*_mixed(spark, folder))
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of documents with a missing or wrong label or with several languages."""
+    return wrong_labels(document_segments(table(spark, folder, "documents"))).select("doc_id", "lang_found")
+
+
+def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of each segment of each document."""
+    return document_segments(table(spark, folder, "documents")).select("doc_id", "segment", "lang_found", "confidence")
+
+
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments}
 
 SQL: dict[str, str] = {}
