@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from recallix.llm import mixing, tokenizer
 from recallix.llm.languages import document_segments, wrong_labels
-from recallix.llm.name_variants import name_variants
+from recallix.llm.name_variants import common_given_names, name_variants
 from recallix.llm.near_duplicates import group_pairs, near_duplicates
+from recallix.llm.personal import find_personal, given_names, redact_personal
 from recallix.llm.similar_vectors import similar_vectors
 from recallix.session import checkpoint
 from recallix.sources.tables import table
@@ -18,6 +20,30 @@ from recallix.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The key of the pseudonyms where PSEUDONYM_KEY isn't set, for tests; give a secret of your own.
+KEY = os.environ.get("PSEUDONYM_KEY", "recallix").encode()
+
+
+def _personal_texts(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    def rows(name: str, *fields: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")
+        return table(spark, folder, name).select(F.lit(name).alias("src"), F.col("id").alias("row_id"), each).select("src", "row_id", "x.*")
+
+    names = given_names(table(spark, folder, "given_names"))
+    names += common_given_names(table(spark, folder, "graph_entities"), names)
+    return rows("knowledge_items", "text").unionByName(rows("episodes", "summary", "messages")), names
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Types of personal information in the texts of knowledge_items and episodes."""
+    return find_personal(*_personal_texts(spark, folder)).distinct()
+
+
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of knowledge_items and episodes with typed placeholders."""
+    return redact_personal(*_personal_texts(spark, folder), KEY)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Similar vectors within vector_embeddings, knowledge_items and graph_entities."""
     rows = [table(spark, folder, name).select(F.lit(name).alias("src"), F.col("id").cast("string").alias("id"), "embedding") for name in ("vector_embeddings", "knowledge_items", "graph_entities")]
@@ -104,6 +130,6 @@ def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
     return document_segments(table(spark, folder, "documents")).select("doc_id", "segment", "lang_found", "confidence")
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments}
 
 SQL: dict[str, str] = {}
