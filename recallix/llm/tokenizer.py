@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recallix.session import checkpoint
+
 #: Where the vocabulary files are, unless a caller says otherwise.
 FOLDER = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -52,18 +54,21 @@ def _rank_map(ranks: dict[bytes, int]) -> Column:
 
 
 def _fold() -> str:
-    """SQL: the tokens of column __b (one character a byte), merged lowest rank first, leftmost on ties."""
+    """SQL: the ids of column __b (one character a byte), merged lowest rank first, leftmost on ties.
+
+    a.p are the pieces so far, a.r the ranks of each with the next, x.new the pairs whose ranks are yet to be
+    looked up: all pairs in step 0, then those on both sides of the last merge.
+    """
     rank = f"coalesce(try_element_at(get(__ranks, cast(crc32(encode(s, 'UTF-8')) % {SHARDS} as int)), s), {NONE})"
-    first = f"transform(sequence(1, length(__b) - 1), i -> get(transform(array(substring(__b, i, 2)), s -> {rank}), 0))"
-    start = f"named_struct('p', split(__b, ''), 'r', if(length(__b) > 1, {first}, cast(array() as array<int>)))"
-    fresh = f"transform(filter(array(if(x.i > 1, concat(a.p[x.i - 2], x.m), null), if(x.i < size(a.r), concat(x.m, a.p[x.i + 1]), null)), s -> s is not null), s -> {rank})"
+    start = "named_struct('p', split(__b, ''), 'r', cast(array() as array<int>))"
+    least = "cast(array_position(a.r, array_min(a.r)) as int)"
+    found = f"named_struct('i', if(n = 0, 0, {least}), 'm', if(n = 0, '', concat(a.p[{least} - 1], a.p[{least}])))"
+    pairs = "if(n = 0, transform(sequence(1, length(__b) - 1), i -> substring(__b, i, 2)), filter(array(if(x.i > 1, concat(a.p[x.i - 2], x.m), null), if(x.i < size(a.r), concat(x.m, a.p[x.i + 1]), null)), s -> s is not null))"
     merged = f"""named_struct(
-        'p', concat(slice(a.p, 1, x.i - 1), array(x.m), slice(a.p, x.i + 2, size(a.p))),
-        'r', concat(slice(a.r, 1, greatest(x.i - 2, 0)), {fresh}, slice(a.r, x.i + 2, size(a.r))))"""
-    where = "array_position(a.r, array_min(a.r))"
-    step = f"get(transform(array(named_struct('i', cast({where} as int), 'm', concat(a.p[cast({where} as int) - 1], a.p[cast({where} as int)]))), x -> {merged}), 0)"
-    folded = f"aggregate(if(length(__b) > 1, sequence(1, length(__b) - 1), cast(array() as array<int>)), {start}, (a, n) -> if(coalesce(array_min(a.r), {NONE}) = {NONE}, a, {step}))"
-    return f"transform(({folded}).p, s -> {rank})"
+        'p', if(n = 0, a.p, concat(slice(a.p, 1, greatest(x.i - 1, 0)), array(x.m), slice(a.p, x.i + 2, size(a.p)))),
+        'r', concat(slice(a.r, 1, greatest(x.i - 2, 0)), transform({pairs}, s -> {rank}), slice(a.r, x.i + 2, size(a.r))))"""
+    step = f"get(transform(array({found}), x -> {merged}), 0)"
+    return f"aggregate(if(length(__b) > 1, sequence(0, length(__b) - 1), cast(array() as array<int>)), {start}, (a, n) -> if(n > 0 and coalesce(array_min(a.r), {NONE}) = {NONE}, a, {step})).p"
 
 
 def split_words(text: Column) -> Column:
@@ -72,10 +77,14 @@ def split_words(text: Column) -> Column:
 
 
 def encode_words(words: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(word, ids) of distinct words."""
+    """(word, ids) of distinct words, checkpointed.
+
+    The rank map is a literal of the plan, some megabytes long; while the fold runs, plans are kept from being
+    written out in full by each of their many readers (event log, UI, AQE).
+    """
     ranks = load_ranks(folder, vocabulary)
     coded = words.select("word", F.decode(F.encode("word", "UTF-8"), "ISO-8859-1").alias("__b")).withColumn("__long", F.length("__b") > LONG)
-    short = coded.where("not __long").select("word", "__b", _rank_map(ranks).alias("__ranks")).select("word", F.expr(_fold()).alias("ids"))
+    pieces = coded.where("not __long").select("word", "__b", _rank_map(ranks).alias("__ranks")).select("word", F.expr(_fold()).alias("p"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = None
@@ -86,7 +95,15 @@ def encode_words(words: DataFrame, folder: str | None = None, vocabulary: str =
                 encoding = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=load_ranks(folder, vocabulary), special_tokens={})
             yield pd.DataFrame({"word": b["word"], "ids": [encoding.encode_ordinary(w) for w in b["word"]]})
 
-    return short.unionByName(coded.where("__long").select("word").mapInPandas(merge, "word string, ids array<int>"))
+    conf, limit = words.sparkSession.conf, "spark.sql.maxPlanStringLength"
+    before = conf.get(limit)
+    conf.set(limit, "10000")
+    try:
+        pieces = checkpoint(pieces)
+        ids = pieces.select("word", F.transform("p", lambda s: F.element_at(_rank_map(ranks)[F.crc32(F.encode(s, "UTF-8")) % SHARDS], s)).alias("ids"))
+        return checkpoint(ids.unionByName(coded.where("__long").select("word").mapInPandas(merge, "word string, ids array<int>")))
+    finally:
+        conf.set(limit, before)
 
 
 def encode(df: DataFrame, key: list[str], text: str, folder: str | None = None, vocabulary: str = VOCABULARY, hot: int = 20_000) -> DataFrame:
@@ -104,11 +121,11 @@ def encode(df: DataFrame, key: list[str], text: str, folder: str | None = None,
     k = [f"__k{i}" for i in range(len(key))]
     docs = df.select(*[F.col(x).alias(y) for x, y in zip(key, k)], F.col(text).cast("string").alias("__t"))
     places = docs.select(*k, F.xxhash64("__t").alias("__h"), F.posexplode_outer(split_words(F.col("__t"))).alias("pos", "word"))
-    counts = places.where("word is not null").groupBy("word").count()
+    counts = checkpoint(places.where("word is not null").groupBy("word").count())
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     often = (F.col("count") > max(1, total // hot)) & (F.octet_length("word") <= 64)
     dictionary = encode_words(counts.select("word"), folder, vocabulary)
-    common = encode_words(counts.where(often).select("word"), folder, vocabulary).withColumnRenamed("ids", "common")
+    common = dictionary.join(counts.where(often).select("word"), "word").withColumnRenamed("ids", "common")
     here = places.join(F.broadcast(common), "word", "left")
     known = here.where("common is not null or word is null").select(*k, "__h", "pos", F.col("common").alias("ids"))
     rest = here.where("common is null and word is not null").drop("common").join(dictionary, "word").select(*k, "__h", "pos", "ids")
