@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from recallix.plans import general
+from recallix.plans import general, graph, knowledge
 
 FLAGSHIP = "p1_found"
-MODULES = (general,)
+MODULES = (general, graph, knowledge)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
