@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from recallix.plans import general, graph, knowledge
+from recallix.plans import general, graph, knowledge, text
 
 FLAGSHIP = "p1_found"
-MODULES = (general, graph, knowledge)
+MODULES = (general, graph, knowledge, text)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
