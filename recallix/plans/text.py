@@ -39,7 +39,7 @@ def q(text: str) -> str:
 
 ITEMS = "k AS (SELECT id, coalesce(text, '') AS text FROM knowledge_items)"
 MESSAGES = """mm AS (SELECT id AS episode, user_id, session_id, unnest(from_json(messages, '[{"id":"INTEGER","role":"VARCHAR","content":"VARCHAR","timestamp":"DOUBLE"}]')) AS m, generate_subscripts(from_json(messages, '[{"id":"INTEGER"}]'), 1) - 1 AS pos FROM episodes WHERE json_valid(messages)),
-msg AS (SELECT episode, user_id, session_id, pos, m.role AS role, m.content AS content, m.timestamp AS at FROM mm WHERE m.content IS NOT NULL)"""
+msg AS (SELECT episode, user_id, session_id, pos, m.role AS role, m.content AS content, m.timestamp AS moment FROM mm WHERE m.content IS NOT NULL)"""
 
 
 def words_sql(t: str) -> str:
