@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from recallix.plans import general, graph, knowledge, memory, retrieval, text
+from recallix.plans import general, graph, knowledge, memory, retrieval, stream, text
 
 FLAGSHIP = "p1_found"
-MODULES = (general, graph, knowledge, text, retrieval, memory)
+MODULES = (general, graph, knowledge, text, retrieval, memory, stream)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
