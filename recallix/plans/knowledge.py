@@ -271,3 +271,8 @@ def snapshot_document(spark, folder):
 @query("aliases", "SELECT id, lower(entity) AS alias FROM graph_entities WHERE entity IS NOT NULL UNION SELECT id, regexp_replace(lower(entity), '[^a-z0-9]+', ' ', 'g') FROM graph_entities WHERE entity IS NOT NULL")
 def aliases(spark, folder):
     return S.aliases(table(spark, folder, "graph_entities"), "id", "entity")
+
+
+@query("entities_fuzzy_merged")
+def entities_fuzzy_merged(spark, folder):
+    return S.fuzzy_merge(table(spark, folder, "graph_entities"), "id", "entity").select("id", "canonical", "score")
