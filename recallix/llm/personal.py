@@ -78,10 +78,10 @@ def pseudonym_date(year: int, month: int, day: int, key: bytes, back: bool = Fal
 
 _A, _Z = r"(?<![\w@/.+-])", r"(?![\w/@]|[.-]\d)"
 EMAIL = re.compile(
-    r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"
-    r"|[\w.+%-]+\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*[\w-]+(?:(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\.)[\w-]+)+"
-    r"|[\w.+%-]+\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)+"
-    r"|[\w.+%-]+\s+@\s+[\w-]+(?:\s*\.\s*[\w-]+)+",
+    r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}"
+    r"|[\w.+%-]+\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*[\w-]+(?:(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\.)[\w-]+)*(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\.)[a-z]{2,}"
+    r"|[\w.+%-]+\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)*\s+dot\s+[a-z]{2,}"
+    r"|[\w.+%-]+\s+@\s+[\w-]+(?:\s*\.\s*[\w-]+)*\s*\.\s*[a-z]{2,}",
     re.I,
 )
 ID_NUMBER = re.compile(
