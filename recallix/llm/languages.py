@@ -130,7 +130,7 @@ class ByteNet:
         return p.argmax(1), p.max(1)
 
 
-def train(docs: DataFrame, sample: int = 6000, least: int = 12, steps: int = 700, seed: int = 3) -> ByteNet | None:
+def train(docs: DataFrame, sample: int = 6000, least: int = 6, steps: int = 1000, seed: int = 3) -> ByteNet | None:
     """A network fitted to at most `sample` labelled documents (those with the least hash of their id).
 
     Labels may be wrong: networks fitted to either half judge the other half, and the windows whose label they

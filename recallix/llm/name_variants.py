@@ -100,7 +100,7 @@ class Reader:
         if len(token) < 5:
             return ""
         best = max((ratio(token, w), w) for w in TRADES)
-        return best[1] if best[0] >= 0.85 else ""
+        return best[1] if best[0] >= 0.8 else ""
 
     def read(self, entity: str | None, kind: str | None) -> tuple[str, str, str, str] | None:
         """(kind P or O, name, field, how) of a name; None if it names neither a person nor a firm.
@@ -188,18 +188,21 @@ def block_keys(kind: str, name: str, field: str) -> list[tuple[str, str]]:
 
 
 def common_given_names(df: DataFrame, listed: list[str], share: float = 0.35, most: int = 50_000) -> list[str]:
-    """Given names the list lacks: words of persons' names about as common as the listed given names.
+    """Given names the list lacks: words that stand first in persons' names about as often as the listed ones.
 
-    Those in at least `share` times the median count of the listed ones, 3 rows at least; `most` of them at most,
-    the commonest. Spelling errors, short forms and surnames are far rarer than that.
+    What counts is with how many different last words: those with at least `share` times the median of the listed
+    names, 3 at least; `most` of them at most, the commonest. Spelling errors, short forms and surnames have far
+    fewer.
     """
-    person = F.lower(F.trim("entity_type")).isin(*PERSON_TYPES)
-    tokens = df.where(person).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("entity"), F.lit(r"(\p{L}{3,})"), F.lit(1)))).alias("token")).groupBy("token").count()
+    person = F.lower(F.trim("entity_type")).isin(*PERSON_TYPES) & ~F.col("entity").contains(",")
+    words = F.filter(F.regexp_extract_all(F.lower("entity"), F.lit(r"(\p{L}{3,})"), F.lit(1)), lambda w: ~w.isin(*TITLES))
+    pairs = df.where(person).select(words.alias("w")).where(F.size("w") >= 2).select(F.get("w", F.lit(0)).alias("token"), F.element_at("w", -1).alias("last"))
+    tokens = pairs.groupBy("token").agg(F.count_distinct("last").alias("count"))
     own = sorted(r[0] for r in tokens.where(F.col("token").isin([g.lower() for g in listed])).select("count").collect())
     if not own:
         return []
     least = max(3.0, share * own[len(own) // 2])
-    return sorted(plain(r[0]) for r in tokens.where(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(most).collect() if plain(r[0]) not in TITLES)
+    return sorted(plain(r[0]) for r in tokens.where(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(most).collect())
 
 
 def name_variants(df: DataFrame, names: DataFrame, most: int = 400) -> DataFrame:
