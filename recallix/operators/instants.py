@@ -99,7 +99,8 @@ def to_instants(df: DataFrame, text: str, source: str, seq: str, profiles: DataF
 
     profiles has source, zone_name and date_order. Text without a zone is local time: of the zone its source
     declares; else of the zone estimated from the order of arrival (see estimate_zones), if at least `least_rows`
-    rows support it by `least_margin_h` over the next one; else of `unknown`. Where a statement fixes the zone of
+    rows support it by `least_margin_h` (and the noise of so few, 12 / sqrt(n) hours) over the next one; else of
+    `unknown`. Where a statement fixes the zone of
     undeclared sources, give it as `unknown` with estimate=False: then the estimate can't override it.
 
     Defined cases: null, empty or placeholder texts, impossible dates and unknown zone names give null; a null
@@ -115,7 +116,7 @@ def to_instants(df: DataFrame, text: str, source: str, seq: str, profiles: DataF
     if estimate:
         names = sorted({r[0] for r in own.select("__zone").where("__zone is not null").distinct().limit(1000).collect()} | {"UTC"})
         best = estimate_zones(parsed.where("__zone is null"), source, seq, names, stream, per_bucket)
-        best = checkpoint(best.where((F.col("margin_h") >= least_margin_h) & (F.col("n") >= least_rows)).select(F.col("source").alias("__es"), F.col("zone").alias("__guess")))
+        best = checkpoint(best.where((F.col("margin_h") >= least_margin_h + 12 / F.sqrt("n")) & (F.col("n") >= least_rows)).select(F.col("source").alias("__es"), F.col("zone").alias("__guess")))
         parsed = parsed.join(best, parsed[source].eqNullSafe(best["__es"]), "left")
         zone = F.coalesce(zone, F.col("__guess"))
     at = F.coalesce("__us", local_to_utc(F.col("__local"), F.coalesce(zone, F.lit(unknown))))
