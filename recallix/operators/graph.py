@@ -218,3 +218,29 @@ def explain(paths: DataFrame) -> DataFrame:
     """Adds `text`: the path in words, `1 -knows-> 2`."""
     step = F.transform(F.sequence(F.lit(1), F.size("relations")), lambda i: F.concat(F.lit(" -"), F.element_at("relations", i), F.lit("-> "), F.element_at("path", i + 1).cast("string")))
     return paths.withColumn("text", F.concat(F.element_at("path", 1).cast("string"), F.array_join(step, "")))
+
+
+def resolve_conflicts(edges: DataFrame, attributes: str, by: str = "confidence") -> DataFrame:
+    """Edges with one target left for each source and attribute relation: the surest, or the newest, of them.
+
+    by is `confidence` (then the weight) or `recency` (column ts); the least rel_id decides among equals.
+    """
+    order = [F.desc("c"), F.desc("w")] if by == "confidence" else [F.desc("ts")]
+    one = F.col("r").rlike(attributes)
+    best = edges.where(one).withColumn("__n", F.row_number().over(Window.partitionBy("s", "r").orderBy(*order, "rel_id"))).where("__n = 1").drop("__n")
+    return edges.where(~one).unionByName(best)
+
+
+def search(edges: DataFrame, names: DataFrame, asked: DataFrame, limit: int = 10) -> DataFrame:
+    """(qid, text, score, rank): facts about the entities (id, entity) that asked (qid, name) names.
+
+    Neighbours of entities of that name score their weight; entities whose name has the asked one as a word score 0.4.
+    """
+    hit = asked.join(names, F.lower(asked["name"]) == F.lower(names["entity"])).select("qid", F.col("id").alias("seed"), "entity")
+    near = neighbours(edges, hit.select("seed").distinct(), limit)
+    other = names.select(F.col("id").alias("node"), F.col("entity").alias("other"))
+    one = hit.join(near, "seed").join(other, "node").select("qid", F.when(F.col("direction") == "outgoing", F.concat_ws(" ", "entity", "r", "other")).otherwise(F.concat_ws(" ", "other", "r", "entity")).alias("text"), F.col("w").alias("score"))
+    words = names.select("entity", F.explode(F.array_distinct(F.split(F.lower("entity"), r"\s+"))).alias("word"))
+    two = asked.join(words, F.lower(asked["name"]) == words["word"]).select("qid", F.col("entity").alias("text"), F.lit(0.4).alias("score"))
+    best = one.unionByName(two).groupBy("qid", "text").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "text"))).where(F.col("rank") <= limit)

@@ -94,3 +94,26 @@ def snapshot_changes(log: DataFrame, key: str, bin_of, state: list[str]) -> Data
     seen = last.withColumn("before", F.lag("h").over(w))
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return seen.groupBy("bin").agg(n(F.col("before").isNull()).alias("added"), n(F.col("before") != F.col("h")).alias("changed"), n(F.col("before") == F.col("h")).alias("kept"))
+
+
+#: Which facts overwrite a profile's value, and which are added to a list.
+SINGLE, LISTED = ["name", "occupation", "location", "age", "relationship_status"], ["preference", "interest", "routine", "boundary", "possession"]
+
+
+def profile_fold(facts: DataFrame, key: str) -> DataFrame:
+    """One row a key from facts (key, at, type, value): the last value of single facts, the distinct ones of lists.
+
+    List values stand in the order in which they first came, at most 50 of each.
+    """
+    last = [F.max_by("value", F.when(F.col("type") == t, F.col("at"))).alias(t) for t in SINGLE]
+    first = facts.where(F.col("type").isin(LISTED)).groupBy(key, "type", F.lower("value").alias("low")).agg(F.min_by("value", "at").alias("value"), F.min("at").alias("at"))
+    few = last_n(first, [key, "type"], ["at", "low"], 50)
+    lists = few.groupBy(key).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == t, F.struct("at", "low", "value")))), lambda x: x["value"]).alias(t) for t in LISTED])
+    singles = facts.groupBy(key).agg(*last)
+    empty = F.array().cast("array<string>")
+    return singles.join(lists, key, "left").select(key, *SINGLE, *[F.coalesce(t, empty).alias(t) for t in LISTED])
+
+
+def aggregate_runs(runs: DataFrame, kind: str, took: str) -> DataFrame:
+    """(kind, n, total, mean, least, most): a profile of timed runs."""
+    return runs.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.sum(took).alias("total"), F.avg(took).alias("mean"), F.min(took).alias("least"), F.max(took).alias("most"))

@@ -41,18 +41,18 @@ def latest_distribution(distributions: DataFrame) -> DataFrame:
 def revision_impact(snapshots: DataFrame, events: DataFrame, recovery: float = 0.95) -> DataFrame:
     """(event, before, after, drop, recovered_at): the consistency (at, score) of snapshots around each event (event, at).
 
-    before is the mean of the last three snapshots before it, after the first one after it; recovered_at the first
-    later one with at least `recovery` of before. Snapshots and events meet in the order of time by windows over
-    their union, not by a product.
+    before is the mean of the last three snapshots up to it, after the first one after it; recovered_at the time of
+    the first later one with at least `recovery` of before. Snapshots and events of one store, some thousands, meet in
+    windows over their union in the order of time.
     """
     both = snapshots.select("at", F.col("score"), F.lit(None).cast("string").alias("event")).unionByName(events.select("at", F.lit(None).cast("double").alias("score"), F.col("event").cast("string")))
-    w = Window.partitionBy(F.lit(0)).orderBy("at", F.col("event").isNotNull())  # a row a snapshot or event of one store
-    seen = both.withColumn("n", F.sum(F.when(F.col("score").isNotNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    e = seen.where("event is not null").select("event", F.col("n").alias("place"), F.col("at").alias("event_at"))
-    s = seen.where("score is not null").select("n", "score", "at")
-    near = e.join(s, (F.col("n") > F.col("place") - 3) & (F.col("n") <= F.col("place")), "left").groupBy("event", "place", "event_at").agg(F.avg("score").alias("before"))
-    later = near.join(s, F.col("n") > F.col("place"), "left").groupBy("event", "before").agg(F.min_by("score", "n").alias("after"), F.min(F.when(F.col("score") >= recovery * F.col("before"), F.col("at"))).alias("recovered_at"))
-    return later.select("event", "before", "after", (F.col("before") - F.col("after")).alias("drop"), "recovered_at")
+    w = Window.partitionBy(F.lit(0)).orderBy("at", F.col("event").isNotNull(), "event")
+    seen = F.filter(F.collect_list(F.struct("at", "score")).over(w.rowsBetween(Window.unboundedPreceding, 0)), lambda s: s["score"].isNotNull())
+    later = F.filter(F.collect_list(F.struct("at", "score")).over(w.rowsBetween(1, Window.unboundedFollowing)), lambda s: s["score"].isNotNull())
+    rows = both.select("event", F.when(F.col("event").isNotNull(), F.slice(F.reverse(seen), 1, 3)).alias("seen"), F.when(F.col("event").isNotNull(), later).alias("later")).where("event is not null")
+    rows = rows.withColumn("before", F.when(F.size("seen") > 0, F.aggregate("seen", F.lit(0.0), lambda a, s: a + s["score"]) / F.size("seen")))
+    back = F.filter("later", lambda s: s["score"] >= recovery * F.col("before"))
+    return rows.select("event", "before", F.get("later", F.lit(0))["score"].alias("after"), (F.col("before") - F.get("later", F.lit(0))["score"]).alias("drop"), F.get(back, F.lit(0))["at"].alias("recovered_at"))
 
 
 def path_tests(paths: DataFrame, n: int, seed: int = 1) -> DataFrame:

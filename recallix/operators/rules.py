@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallix.session import checkpoint
@@ -135,8 +135,6 @@ def abduce(facts: DataFrame, observations: DataFrame, rules: list[Rule], top: in
             shown = F.concat_ws(" ", *[(F.coalesce(k, F.lit("?")) if t.startswith("?") and t not in bound else term(t)) for k, t in zip((F.col("ks"), F.col("kr"), F.col("ko")), premise)])
             one = hit.select("s", "r", "o", shown.alias("hypothesis"), F.lit(rule.name).alias("rule"), F.col("ks").isNotNull().alias("known"), F.round(F.when(F.col("ks").isNotNull(), 0.9).otherwise(0.5) * rule.confidence, 6).alias("confidence")).distinct()
             out = one if out is None else out.unionByName(one)
-    from pyspark.sql import Window
-
     w = Window.partitionBy("s", "r", "o").orderBy(F.desc("confidence"), "hypothesis", "rule")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
@@ -153,3 +151,17 @@ def descendants(parents: DataFrame, depth: int = 8) -> DataFrame:
             break
         seen = checkpoint(seen.unionByName(level))
     return seen
+
+
+def answer_why(facts: DataFrame, questions: DataFrame, rules: list[Rule], relation: str = "is_a", depth: int = 3, top: int = 3) -> DataFrame:
+    """(qid, s, r, o, how, support): why-questions (qid, s, r, o) answered by proof, else by hypotheses.
+
+    A goal of the transitive relation that is proved in at most `depth` steps says `proved` and in how many; any other
+    gets its best hypotheses with their confidence.
+    """
+    proofs = backward_chain(facts, questions.where(F.col("r") == relation), relation, depth).where("proved")
+    proved = questions.join(proofs.select("s", "r", "o", "steps"), ["s", "r", "o"]).select("qid", "s", "r", "o", F.lit("proved").alias("how"), F.concat(F.col("steps").cast("string"), F.lit(" steps")).alias("support"))
+    rest = questions.join(proved.select("qid"), "qid", "left_anti")
+    ideas = abduce(facts, rest.select("s", "r", "o").distinct(), rules, top)
+    guessed = rest.join(ideas, ["s", "r", "o"]).select("qid", "s", "r", "o", F.lit("hypothesis").alias("how"), F.concat(F.col("hypothesis"), F.lit(" ("), F.col("confidence").cast("string"), F.lit(")")).alias("support"))
+    return proved.unionByName(guessed)

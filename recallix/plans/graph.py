@@ -247,3 +247,34 @@ def graph_derived_edges(spark, folder):
 def graph_provenance_reliability(spark, folder):
     log = table(spark, folder, "relationship_versions").where("provenance is not null")
     return log.groupBy(F.col("provenance").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("reliability"))
+
+
+@query(
+    "graph_conflicts_resolved",
+    f"""WITH {EDGES}, b AS (SELECT rel_id FROM (SELECT *, row_number() OVER (PARTITION BY s, r ORDER BY c DESC, w DESC, rel_id) AS n FROM e WHERE regexp_matches(r, '^(located_in|works_at)$')) WHERE n = 1)
+SELECT rel_id, s, r, t FROM e WHERE NOT regexp_matches(r, '^(located_in|works_at)$') OR rel_id IN (SELECT rel_id FROM b)""",
+)
+def graph_conflicts_resolved(spark, folder):
+    return G.resolve_conflicts(edges(spark, folder), "^(located_in|works_at)$").select("rel_id", "s", "r", "t")
+
+
+@query("graph_conflicts_by_recency", f"WITH {EDGES}, b AS (SELECT rel_id FROM (SELECT *, row_number() OVER (PARTITION BY s, r ORDER BY ts DESC, rel_id) AS n FROM e WHERE r = 'knows') WHERE n = 1) SELECT rel_id, s, r, t FROM e WHERE r <> 'knows' OR rel_id IN (SELECT rel_id FROM b)")
+def graph_conflicts_by_recency(spark, folder):
+    return G.resolve_conflicts(edges(spark, folder), "^knows$", "recency").select("rel_id", "s", "r", "t")
+
+
+@query("graph_search")
+def graph_search(spark, folder):
+    names = table(spark, folder, "graph_entities").where("entity is not null").select("id", "entity")
+    asked = names.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("entity").alias("name"))
+    return G.search(edges(spark, folder), names, asked)
+
+
+@query("graph_multi_hop_answers", f"WITH {EDGES}, {_walks(3)}, n AS (SELECT *, row_number() OVER (PARTITION BY start, goal ORDER BY hops, path, relations) AS k FROM found) SELECT 'What is the connection between ' || start || ' and ' || goal || '?' AS question, array_to_string(path, '>') AS path, 0.8::DOUBLE AS score FROM n WHERE k = 1")
+def graph_multi_hop_answers(spark, folder):
+    from recallix.functions.extraction import entity_pair
+
+    best = G.simple_paths(edges(spark, folder), seeds(spark, folder), per_pair=1)
+    asked = best.select(F.concat(F.lit("What is the connection between "), F.col("start").cast("string"), F.lit(" and "), F.col("goal").cast("string"), F.lit("?")).alias("question"))
+    pairs = asked.select("question", entity_pair(F.col("question")).alias("p")).select("question", F.col("p.start").cast("bigint").alias("start"), F.col("p.goal").cast("bigint").alias("goal"))
+    return pairs.join(best, ["start", "goal"]).select("question", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.lit(0.8).alias("score"))

@@ -276,3 +276,25 @@ def aliases(spark, folder):
 @query("entities_fuzzy_merged")
 def entities_fuzzy_merged(spark, folder):
     return S.fuzzy_merge(table(spark, folder, "graph_entities"), "id", "entity").select("id", "canonical", "score")
+
+
+@query("source_reliability", "SELECT source, round(least(1.0, greatest(0.0, arg_max(confidence, id))), 6) AS reliability FROM fact_triples WHERE source IS NOT NULL AND confidence IS NOT NULL GROUP BY ALL")
+def source_reliability(spark, folder):
+    rows = table(spark, folder, "fact_triples").where("source is not null and confidence is not null").select("source", "id", "confidence")
+    last = S.last_wins(rows, ["source"], ["id"], [])
+    return last.select("source", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "confidence")), 6).alias("reliability"))
+
+
+@query("entities_linked", """WITH q AS (SELECT id AS qid, upper(entity) AS name FROM graph_entities WHERE id % 100 = 0), a AS (SELECT id, lower(entity) AS alias FROM graph_entities), m AS (
+  SELECT qid, id, 0 AS tier FROM q JOIN graph_entities ON entity = name UNION ALL SELECT qid, id, 1 FROM q JOIN a ON lower(name) = alias) SELECT qid, id, tier FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier, id) AS n FROM m) WHERE n = 1""")
+def entities_linked(spark, folder):
+    e = table(spark, folder, "graph_entities")
+    alias = e.select("id", F.lower("entity").alias("alias"))
+    return S.link_names(e, "id", "entity", alias, e.where("id % 100 = 0").select(F.col("id").alias("qid"), F.upper("entity").alias("name")))
+
+
+@query("rules_why_answers")
+def rules_why_answers(spark, folder):
+    facts_ = triples(spark, folder).distinct()
+    asked = facts_.where("r in ('part_of', 'located_in')").withColumn("qid", F.xxhash64("s", "r", "o"))
+    return R.answer_why(facts_, asked, [R.inherited("located_in", "part_of")], "part_of")

@@ -11,7 +11,7 @@ from recallix.functions import text as X
 from recallix.operators import memory as M
 from recallix.operators import profiles as P
 from recallix.plans.text import MESSAGES, said, words_sql
-from recallix.sources.tables import table
+from recallix.sources.tables import table, utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -165,7 +165,7 @@ SESSIONS = "x AS (SELECT *, floor(epoch(ts)) AS z, lag(floor(epoch(ts))) OVER (P
 
 
 def _sessions(spark, folder):
-    e = table(spark, folder, "events").withColumn("at", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double"))
+    e = table(spark, folder, "events").withColumn("at", F.unix_timestamp(utc(F.col("ts"))).cast("double"))
     return P.sessionise(e, "user_id", "at", 1800)
 
 

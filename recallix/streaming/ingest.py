@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recallix.functions import text as X
+from recallix.sources.tables import utc
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
-    return stream.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"})
+    return stream.withColumns({f.name: utc(F.col(f.name)) for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"})
 
 
 def windowed_counts(events: DataFrame, at: str, kind: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:

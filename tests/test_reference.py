@@ -194,3 +194,21 @@ def test_streams(spark, small):
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in.parquet")
     got = {r.k: (r.interactions, r.trust) for r in I.run_once(I.running_trust(stream, "k"), "update", folder).collect()}
     assert got == {"u": (3, 1.0), "v": (1, 0.1)}
+
+
+def test_links_and_folds(spark):
+    e = spark.createDataFrame([(1, "Marie Curie"), (2, "Radium")], "id bigint, entity string")
+    alias = spark.createDataFrame([(1, "Madame Curie")], "id bigint, alias string")
+    asked = spark.createDataFrame([(1, "Marie Curie"), (2, "madame curie"), (3, "Curie, Marie"), (4, "nobody"), (5, "")], "qid bigint, name string")
+    assert {tuple(r) for r in S.link_names(e, "id", "entity", alias, asked).collect()} == {(1, 1, 0), (2, 1, 1), (3, 1, 2)}
+    facts = spark.createDataFrame([("u", 1, "name", "Ann"), ("u", 2, "name", "Anna"), ("u", 3, "interest", "chess"), ("u", 4, "interest", "Chess"), ("u", 5, "interest", "art"), ("v", 1, "age", "40")], "k string, at int, type string, value string")
+    got = {r.k: r for r in P.profile_fold(facts, "k").collect()}
+    assert got["u"].name == "Anna" and got["u"].interest == ["chess", "art"] and got["v"].age == "40" and got["v"].interest == []
+    f = spark.createDataFrame(TAXONOMY, "s string, r string, o string")
+    asked = spark.createDataFrame([(1, "dog", "is_a", "animal"), (2, "dog", "has_property", "fur"), (3, "x", "is_a", "y")], "qid int, s string, r string, o string")
+    why = {(w.qid, w.how): w.support for w in Ru.answer_why(f, asked, [Ru.inherited("has_property", "is_a")]).collect()}
+    assert why[(1, "proved")] == "2 steps" and (2, "hypothesis") in why and (3, "proved") not in why
+    n = spark.createDataFrame([(1, "Ann"), (2, "Ann Lee"), (3, "Bo")], "id bigint, entity string")
+    edge = spark.createDataFrame([(1, 1, 3, "knows", 0.9, 0.9)], "rel_id bigint, s bigint, t bigint, r string, w double, c double")
+    found = G.search(edge, n, spark.createDataFrame([(7, "ann")], "qid bigint, name string")).orderBy("rank").collect()
+    assert [(r.text, r.score) for r in found] == [("Ann knows Bo", 0.9), ("Ann", 0.4), ("Ann Lee", 0.4)]
