@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallix.operators.hot import running_totals, sequenced
+
 #: Stages of a relationship with the interactions and the trust they take.
 STAGES = [("deep", 100, 0.80), ("established", 40, 0.55), ("developing", 15, 0.30), ("acquaintance", 5, 0.15)]
 
@@ -76,11 +78,14 @@ def expired(rows: DataFrame, session: str, at: str, now: float, ttl: float) -> D
     return rows.groupBy(session).agg(F.max(at).alias("last_at")).where(F.col("last_at") < now - ttl)
 
 
-def sessionise(events: DataFrame, key: str, at: str, gap: float) -> DataFrame:
-    """Events with `session`, counted up for each key where more than `gap` seconds passed since the one before."""
-    w = Window.partitionBy(key).orderBy(at, "event_id")
-    cut = F.when(F.lag(at).over(w).isNull() | (F.col(at) - F.lag(at).over(w) > gap), 1).otherwise(0)
-    return events.withColumn("__cut", cut).withColumn("session", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__cut")
+def sessionise(events: DataFrame, key: str, at: str, gap: int, tie: str = "event_id", base: int = 50_000) -> DataFrame:
+    """Events with `session`, counted up for each key where more than `gap` passed since the one before.
+
+    at is a bigint time. Keys with very many events are ranked and summed in shards.
+    """
+    rows = sequenced(events, [key], at, tie, base)
+    cut = F.when(F.col("before").isNull() | (F.col(at) - F.col("before") > gap), 1).otherwise(0)
+    return running_totals(rows.withColumn("__cut", cut), [key], "place", {"session": "__cut"}, base).drop("__cut", "place", "before", "after")
 
 
 def snapshot_changes(log: DataFrame, key: str, bin_of, state: list[str]) -> DataFrame:

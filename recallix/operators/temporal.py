@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recallix.operators.hot import running_totals, sequenced
 from recallix.operators.intervals import OPEN_END, OPEN_START
 
 
@@ -14,13 +15,17 @@ def as_of(facts: DataFrame, at: Column, start: str = "from_us", end: str = "unti
     return out.where(F.col(superseded).isNull()) if superseded else out
 
 
-def timeline(facts: DataFrame, keys: list[str], start: str, order: str) -> DataFrame:
-    """Facts with their place in the order of their key, and the next start as implied end where it is open."""
-    w = Window.partitionBy(*keys).orderBy(F.col(start).asc_nulls_first(), order)
-    return facts.withColumn("place", F.row_number().over(w)).withColumn("next_start", F.lead(start).over(w))
+def timeline(facts: DataFrame, keys: list[str], start: str, order: str, base: int = 50_000) -> DataFrame:
+    """Facts with their place in the order of their key, and the next start as implied end where it is open.
+
+    An open start comes first. Keys with very many facts are ranked in shards.
+    """
+    rows = facts.withColumn("__start", F.coalesce(start, F.lit(OPEN_START)))
+    out = sequenced(rows, keys, "__start", order, base)
+    return out.withColumn("next_start", F.when(F.col("after") > OPEN_START, F.col("after"))).drop("__start", "before", "after")
 
 
-def overlap_counts(facts: DataFrame, keys: list[str], row_id: str, start: str, end: str) -> DataFrame:
+def overlap_counts(facts: DataFrame, keys: list[str], row_id: str, start: str, end: str, base: int = 50_000) -> DataFrame:
     """(keys, row id, overlaps): with how many other facts of its key each fact overlaps.
 
     Counted by two running sums over the sorted bounds, not by listing pairs: those that start before my end less
@@ -31,8 +36,7 @@ def overlap_counts(facts: DataFrame, keys: list[str], row_id: str, start: str, e
     starts = rows.groupBy(*keys, F.col("__s").alias("__at")).agg(F.count(F.lit(1)).alias("__starts"))
     ends = rows.groupBy(*keys, F.col("__e").alias("__at")).agg(F.count(F.lit(1)).alias("__ends"))
     points = starts.withColumn("__ends", F.lit(0)).unionByName(ends.withColumn("__starts", F.lit(0))).groupBy(*keys, "__at").agg(F.sum("__starts").alias("__starts"), F.sum("__ends").alias("__ends"))
-    w = Window.partitionBy(*keys).orderBy("__at")
-    sums = points.select(*keys, "__at", F.sum("__ends").over(w).alias("__ended"), F.coalesce(F.sum("__starts").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__begun"))
+    sums = running_totals(points, keys, "__at", {"__begun": "__starts", "__ended": "__ends"}, base).withColumn("__begun", F.col("__begun") - F.col("__starts"))
     mine = rows.join(sums.select(*keys, F.col("__at").alias("__s"), "__ended"), [*keys, "__s"])
     mine = mine.join(sums.select(*keys, F.col("__at").alias("__e"), "__begun"), [*keys, "__e"])
     return mine.select(*keys, F.col("__id").alias(row_id), (F.col("__begun") - F.col("__ended") - 1).alias("overlaps"))

@@ -165,7 +165,7 @@ SESSIONS = "x AS (SELECT *, floor(epoch(ts)) AS z, lag(floor(epoch(ts))) OVER (P
 
 
 def _sessions(spark, folder):
-    e = table(spark, folder, "events").withColumn("at", F.unix_timestamp(utc(F.col("ts"))).cast("double"))
+    e = table(spark, folder, "events").withColumn("at", F.unix_timestamp(utc(F.col("ts"))))
     return P.sessionise(e, "user_id", "at", 1800)
 
 

@@ -156,3 +156,22 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
+
+
+def test_hot_keys_are_ranked_and_summed_in_shards(spark):
+    from recallix.operators.hot import running_totals, sequenced
+    from recallix.operators.profiles import sessionise
+    from recallix.operators.temporal import overlap_counts, timeline
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["hot"] * 4 + ["a", None]), rng.randrange(200), rng.randrange(1, 30)) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id bigint, k string, t bigint, n bigint").withColumn("z", F.col("t") + F.col("n"))
+    for f in (lambda b: sequenced(df, ["k"], "t", "event_id", b), lambda b: running_totals(df, ["k"], "t", {"sum": "n"}, b), lambda b: sessionise(df, "k", "t", 2, base=b), lambda b: timeline(df, ["k"], "t", "event_id", b)):
+        assert sorted(map(str, f(20).collect())) == sorted(map(str, f(10**6).collect()))
+    got = {r.event_id: r.overlaps for r in overlap_counts(df.where("k is not null"), ["k"], "event_id", "t", "z", 20).collect()}
+    assert got == {i: sum(1 for j, k2, t2, n2 in rows if j != i and k2 == k and t < t2 + n2 and t2 < t + n) for i, k, t, n in rows if k}
+    first = {r.event_id: r for r in sequenced(df, ["k"], "t", "event_id", 20).collect()}
+    for k in ("hot", "a", None):
+        own = sorted((t, i) for i, k2, t, _ in rows if k2 == k)
+        assert [first[i].place for _, i in own] == list(range(1, len(own) + 1))
+        assert [first[i].before for _, i in own] == [None] + [t for t, _ in own[:-1]]
