@@ -77,11 +77,13 @@ def pseudonym_date(year: int, month: int, day: int, key: bytes, back: bool = Fal
 # --- where it is -------------------------------------------------------------------------------------------
 
 _A, _Z = r"(?<![\w@/.+-])", r"(?![\w/@]|[.-]\d)"
+#: Starts at the start of a run only and takes at most 64 letters of it, so a long run costs no more than its length.
+_LOCAL = r"(?<![\w.+%-])[\w.+%-]{1,64}"
 EMAIL = re.compile(
-    r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}"
-    r"|[\w.+%-]+\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*[\w-]+(?:(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\.)[\w-]+)*(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\.)[a-z]{2,}"
-    r"|[\w.+%-]+\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)*\s+dot\s+[a-z]{2,}"
-    r"|[\w.+%-]+\s+@\s+[\w-]+(?:\s*\.\s*[\w-]+)*\s*\.\s*[a-z]{2,}",
+    rf"{_LOCAL}@[\w-]{{1,63}}(?:\.[\w-]{{1,63}})*\.[a-z]{{2,}}"
+    rf"|{_LOCAL}\s{{0,3}}[\[({{<]\s{{0,3}}(?:at|@)\s{{0,3}}[\])}}>]\s{{0,3}}[\w-]{{1,63}}(?:(?:\s{{0,3}}[\[({{<]\s{{0,3}}(?:dot|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|\.)[\w-]{{1,63}})*(?:\s{{0,3}}[\[({{<]\s{{0,3}}(?:dot|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|\.)[a-z]{{2,}}"
+    rf"|{_LOCAL}\s{{1,3}}at\s{{1,3}}[\w-]{{1,63}}(?:\s{{1,3}}dot\s{{1,3}}[\w-]{{1,63}})*\s{{1,3}}dot\s{{1,3}}[a-z]{{2,}}"
+    rf"|{_LOCAL}\s{{1,3}}@\s{{1,3}}[\w-]{{1,63}}(?:\s{{0,3}}\.\s{{0,3}}[\w-]{{1,63}})*\s{{0,3}}\.\s{{0,3}}[a-z]{{2,}}",
     re.I,
 )
 ID_NUMBER = re.compile(
@@ -89,7 +91,7 @@ ID_NUMBER = re.compile(
     re.I,
 )
 #: Words after which a number is a person's.
-ID_CUE = re.compile(r"(?:passport|ssn|social security|national id|identity (?:card|number)|tax (?:number|id)|taxpayer|driving licen[cs]e|driver'?s licen[cs]e|insurance (?:no|number)|insured under)\b(?:\s+(?:no|number|nr|id|is|so)\b\.?|[:#,.]|\s)*([A-Z]{0,3}[ -]?\d[\dA-Z]*(?:[ /-][\dA-Z]*\d[\dA-Z]*){0,5}(?:[ -][A-Z])?)(?!\w)", re.I)
+ID_CUE = re.compile(r"(?:passport|ssn|social security|national id|identity (?:card|number)|tax (?:number|id)|taxpayer|driving licen[cs]e|driver'?s licen[cs]e|insurance (?:no|number)|insured under)\b(?:\s{0,3}(?:no|number|nr|id|is|so)\b\.?|[:#,.]){0,4}\s{0,3}([A-Z]{0,3}[ -]?\d[\dA-Z]*(?:[ /-][\dA-Z]*\d[\dA-Z]*){0,5}(?:[ -][A-Z])?)(?!\w)", re.I)
 PHONE = re.compile(
     rf"{_A}(?:\+\d{{1,3}}(?:[ .-]?\(\d{{1,4}}\))?(?:[ .-]?\d{{2,6}}){{2,5}}|00\d?[ .-]\d{{2,4}}(?:[ .-]?\d{{2,7}}){{1,4}}|\(\d{{2,5}}\)[ .-]?\d{{3,4}}(?:[ .-]?\d{{3,4}}){{0,2}}|\d{{3}}([.-])\d{{3}}\1\d{{4}}|0\d{{3,4}} \d{{3}} ?\d{{3,4}}|0\d(?:[ .]\d\d){{4}})(?:\s?(?:x|ext\.?)\s?\d{{1,6}})?(?![\w/@]|-\d|\.\d)",
     re.I,

@@ -2,6 +2,7 @@
 
 import random
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,13 @@ def test_long_text(finder):
     assert [k for _, _, k in finder.find(text)] == ["email"]
 
 
+@pytest.mark.parametrize("run", ["a", "1", " ", "a.", "A ", "1-", "@", "at ", "(", "passport ", "x@", "\n", "é", "Augusta "])
+def test_long_runs_take_no_longer_than_they_are(finder, run):
+    began = time.perf_counter()
+    finder.find(run * (200_000 // len(run)))
+    assert time.perf_counter() - began < 20
+
+
 def test_permutation_is_one():
     for size in (2, 3, 10, 97, 1000):
         assert sorted(permute(i, size, b"k") for i in range(size)) == list(range(size))
