@@ -20,6 +20,8 @@ FIRM_TYPES = {"organization", "organisation", "org", "company", "firm", "corpora
 TITLES = {"dr", "prof", "professor", "doctor", "mr", "mrs", "ms", "miss", "mx", "sir", "dame", "lord", "lady", "herr", "frau", "jr", "sr", "ii", "iii", "phd", "md", "ing", "dipl", "rev", "hon", "capt", "sra", "mme", "mlle"}
 #: Legal forms and words without weight in firms' names.
 LEGAL = {"inc", "incorporated", "ltd", "limited", "corp", "corporation", "company", "co", "gmbh", "mbh", "ag", "group", "plc", "llc", "llp", "lp", "sa", "spa", "srl", "bv", "nv", "kg", "ohg", "se", "oy", "ab", "as", "holding", "holdings", "the", "and"}
+#: Legal forms written in several ways; `group` and `holding` say nothing of the form.
+FORMS = {"incorporated": "inc", "limited": "ltd", "corporation": "corp", "co": "company", "mbh": "gmbh"}
 #: What firms do, with common abbreviations that are no prefix of the word.
 TRADES = {
     "university": "univ", "publishing": "publ", "consulting": "cons", "foundation": "fdn", "development": "dev", "telecommunications": "telecom", "ceramics": "cer", "construction": "constr", "association": "assoc",
@@ -102,11 +104,11 @@ class Reader:
         best = max((ratio(token, w), w) for w in TRADES)
         return best[1] if best[0] >= 0.8 else ""
 
-    def read(self, entity: str | None, kind: str | None) -> tuple[str, str, str, str] | None:
-        """(kind P or O, name, field, how) of a name; None if it names neither a person nor a firm.
+    def read(self, entity: str | None, kind: str | None) -> tuple[str, str, str, str, str] | None:
+        """(kind P or O, name, field, how, form) of a name; None if it names neither a person nor a firm.
 
-        name is the surname or the firm's own word, field the given name or the trade; how is `full`, `part` (an
-        initial, an unlisted given name, or no trade) or, for a part, what there is of it.
+        name is the surname or the firm's own word, field the given name or the trade; how is `full` or `part` (an
+        initial, an unlisted given name, or no trade); form is the legal form of a firm.
         """
         if not entity:
             return None
@@ -126,7 +128,7 @@ class Reader:
             firm = any(t in LEGAL for t in tokens[1:]) or any(t in TRADES or t in SHORT_TRADES for t in tokens)
         return self._firm(tokens) if firm else self._person(tokens, comma)
 
-    def _firm(self, tokens: list[str]) -> tuple[str, str, str, str] | None:
+    def _firm(self, tokens: list[str]) -> tuple[str, str, str, str, str] | None:
         trades, rest, legal = [], [], []
         for t in tokens:
             if t in LEGAL:
@@ -136,9 +138,10 @@ class Reader:
             else:
                 rest.append(t)
         name = "".join(rest) or "".join(tokens)
-        return ("O", name, trades[0] if trades else "", "full" if trades else "part")
+        form = next((FORMS.get(t, t) for t in legal if t not in ("the", "and", "group", "holding", "holdings")), "")
+        return ("O", name, trades[0] if trades else "", "full" if trades else "part", form)
 
-    def _person(self, tokens: list[str], comma: bool) -> tuple[str, str, str, str] | None:
+    def _person(self, tokens: list[str], comma: bool) -> tuple[str, str, str, str, str] | None:
         tokens = [t for t in tokens if t not in TITLES]
         long = [t for t in tokens if len(t) > 1]
         if not long:
@@ -149,32 +152,36 @@ class Reader:
             # A comma puts the surname first; else an exact given name wins over a likeness.
             exact = [x for x in known if long[x[0]] in self.full or long[x[0]] in self.short]
             i, given = (exact or known)[-1 if comma else 0]
-            return ("P", "".join(t for j, t in enumerate(long) if j != i), given, "full")
+            return ("P", "".join(t for j, t in enumerate(long) if j != i), given, "full", "")
         if len(long) == 1:
-            return ("P", long[0], initials[0], "part") if initials else None
+            return ("P", long[0], initials[0], "part", "") if initials else None
         first, last = (long[-1], long[:-1]) if comma else (long[0], long[1:])
         if len(first) > 8 and len(last) == 1 and len(last[0]) < 8:
             first, last = last[0], [first]
-        return ("P", "".join(last), first, "part")
+        return ("P", "".join(last), first, "part", "")
 
 
-def same_name(kind: str, a: tuple[str, str, str], b: tuple[str, str, str]) -> str:
-    """`full` if two (name, field, how) surely name the same one, `part` if they may, else nothing."""
-    (name, field, how), (name2, field2, how2) = a, b
+def same_name(kind: str, a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> int:
+    """4 if two (name, field, how, form) surely name the same one, 3 to 1 if they may (the better the more), else 0.
+
+    What may be one: an initial or short form and a given name (3 if it begins with it, 2 if it begins alike, 1 if
+    most letters are in it), a firm without and with its trade (3 if the legal forms are equal, 1 if they differ).
+    """
+    (name, field, how, form), (name2, field2, how2, form2) = a, b
     if how == how2 == "full":
-        if not set(field.split("|")) & set(field2.split("|")):
-            return ""
-        return "full" if ratio(name, name2) >= NAME else ""
+        return 4 * bool(set(field.split("|")) & set(field2.split("|")) and ratio(name, name2) >= NAME)
     if ratio(name, name2) < BARE:
-        return ""
+        return 0
     if kind == "O":
-        return "part"
+        return 2 if not form or not form2 else 3 if form == form2 else 1
     if how == how2:
-        return "full" if field[0] == field2[0] and (len(field) == 1 or len(field2) == 1 or ratio(field, field2) >= WORD) else ""
+        return 4 * (field[0] == field2[0] and (len(field) == 1 or len(field2) == 1 or ratio(field, field2) >= WORD))
     part, wholes = (field, field2.split("|")) if how == "part" else (field2, field.split("|"))
-    if len(part) == 1:
-        return "part" if any(w[0] == part for w in wholes) else ""
-    return "part" if any(w[0] == part[0] or common_subsequence(part, w) >= 0.5 * len(part) for w in wholes) else ""
+    if any(w.startswith(part) for w in wholes):
+        return 3
+    if len(part) > 1 and any(w[0] == part[0] for w in wholes):
+        return 2
+    return int(len(part) > 1 and any(common_subsequence(part, w) >= 0.5 * len(part) for w in wholes))
 
 
 def block_keys(kind: str, name: str, field: str) -> list[tuple[str, str]]:
@@ -217,7 +224,7 @@ def name_variants(df: DataFrame, names: DataFrame, most: int = 400) -> DataFrame
     indexed; a suffix of more than `most` nodes is refined by the first letter of the given name or trade, and
     discarded only if it is still that common. Nodes of one block are compared by the ratio of their longest
     common subsequence. Full names that agree are linked; a name with an initial, an unlisted given name or no
-    trade joins a group only if it fits one group alone.
+    trade joins the group it fits best, if that is one alone.
 
     Defined cases: null or empty entities and null ids have no group; a null type is read from the name; repeated
     rows come out as one; an empty table gives no rows; other columns play no part.
@@ -230,41 +237,43 @@ def name_variants(df: DataFrame, names: DataFrame, most: int = 400) -> DataFrame
         reader = Reader(known, more)
         for b in batches:
             got = [(i, *r) for i, e, t in zip(b["id"], b["entity"], b["entity_type"]) if (r := reader.read(e, t))]
-            yield pd.DataFrame(got, columns=["id", "kind", "name", "field", "how"])
+            yield pd.DataFrame(got, columns=["id", "kind", "name", "field", "how", "form"])
 
     rows = df.select(F.col("id").cast("bigint"), F.col("entity").cast("string"), F.col("entity_type").cast("string")).where("id is not null and entity is not null")
-    rows = rows.mapInPandas(read, "id bigint, kind string, name string, field string, how string").withColumn("form", F.struct("kind", "name", "field", "how"))
-    rows = checkpoint(rows.select("id", "form"))
-    nodes = checkpoint(rows.groupBy("form").agg(F.min("id").alias("node")).select("node", "form.*"))
+    rows = rows.mapInPandas(read, "id bigint, kind string, name string, field string, how string, form string")
+    rows = checkpoint(rows.select("id", F.struct("kind", "name", "field", "how", "form").alias("read")))
+    nodes = checkpoint(rows.groupBy("read").agg(F.min("id").alias("node")))
 
     @F.pandas_udf("array<struct<key:string,finer:string>>")
     def keys(kind: pd.Series, name: pd.Series, field: pd.Series) -> pd.Series:
         return pd.Series([[{"key": k, "finer": f} for k, f in block_keys(*x)] for x in zip(kind, name, field)])
 
-    index = nodes.select("node", F.struct("kind", "name", "field", "how").alias("form"), F.explode(keys("kind", "name", "field")).alias("k")).select("node", "form", "k.key", "k.finer")
+    index = nodes.select("node", "read", F.explode(keys("read.kind", "read.name", "read.field")).alias("k")).select("node", "read", "k.key", "k.finer")
     common = index.groupBy("key").count().where(F.col("count") > most).select("key", F.lit(True).alias("common"))
-    index = index.join(common, "key", "left").withColumn("key", F.when(F.col("common"), F.concat_ws("/", "key", "finer")).otherwise(F.col("key"))).select("node", "form", "key")
+    index = index.join(common, "key", "left").withColumn("key", F.when(F.col("common"), F.concat_ws("/", "key", "finer")).otherwise(F.col("key"))).select("node", "read", "key")
     still = index.groupBy("key").count().where(F.col("count") > most)
     index = index.join(still, "key", "left_anti")
-    other = index.select(F.col("node").alias("node2"), F.col("form").alias("form2"), "key")
-    close = index.join(other, "key").where("node < node2 and abs(length(form.name) - length(form2.name)) <= 3").select("node", "node2", "form", "form2").dropDuplicates(["node", "node2"])
+    other = index.select(F.col("node").alias("node2"), F.col("read").alias("read2"), "key")
+    close = index.join(other, "key").where("node < node2 and abs(length(read.name) - length(read2.name)) <= 3").select("node", "node2", "read", "read2").dropDuplicates(["node", "node2"])
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("int")
     def judge(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        return pd.Series([same_name(k, x, y) for k, x, y in zip(a["kind"], zip(a["name"], a["field"], a["how"]), zip(b["name"], b["field"], b["how"]))], dtype=object)
-
-    judged = checkpoint(close.withColumn("same", judge("form", "form2")).where("same <> ''").select("node", "node2", "same", F.col("form.how").alias("how"), F.col("form2.how").alias("how2")))
-    strong = components(judged.where("same = 'full'"), "node", "node2")
-    group = nodes.join(strong.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    weak = judged.where("same = 'part'").select("node", "node2", "how", "how2")
-    either = weak.where("how = 'part'").select(F.col("node").alias("part"), F.col("node2").alias("whole"), F.col("how2").alias("of")).unionByName(weak.where("how2 = 'part'").select(F.col("node2").alias("part"), F.col("node").alias("whole"), F.col("how").alias("of")))
-    fits = either.join(group, either["whole"] == group["node"]).select("part", "component", "of")
-    # The parts that are linked among themselves move together: what counts is the component of the part.
-    own = fits.join(group.select(F.col("node").alias("n"), F.col("component").alias("mine")), F.col("part") == F.col("n")).where("component <> mine")
-    one = own.groupBy("mine").agg(F.min("component").alias("to"), F.max("component").alias("most"), F.max(F.when(F.col("of") == "full", F.col("component"))).alias("full"), F.min(F.when(F.col("of") == "full", F.col("component"))).alias("full_least"))
-    one = one.select("mine", F.when(F.col("full").isNotNull(), F.when(F.col("full") == F.col("full_least"), F.col("full"))).otherwise(F.when(F.col("to") == F.col("most"), F.col("to"))).alias("to")).where("to is not null")
+        both = (zip(x["name"], x["field"], x["how"], x["form"]) for x in (a, b))
+        return pd.Series([same_name(k, x, y) for k, x, y in zip(a["kind"], *both)], dtype="int32")
+
+    judged = checkpoint(close.withColumn("same", judge("read", "read2")).where("same > 0").select("node", "node2", "same", F.col("read.how").alias("how"), F.col("read2.how").alias("how2")))
+    strong = components(judged.where("same = 4"), "node", "node2")
+    group = nodes.join(strong.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("component", "node").alias("component"))
+    # A part goes with what it fits best: full names before parts, then the better likeness. Parts that are linked
+    # among themselves go together.
+    weak = judged.where("same < 4")
+    rank = lambda of: F.when(F.col(of) == "full", 10).otherwise(0) + F.col("same")
+    either = weak.where("how = 'part'").select(F.col("node").alias("part"), F.col("node2").alias("whole"), rank("how2").alias("rank")).unionByName(weak.where("how2 = 'part'").select(F.col("node2").alias("part"), F.col("node").alias("whole"), rank("how").alias("rank")))
+    fits = either.join(group.select(F.col("node").alias("whole"), "component"), "whole").join(group.select(F.col("node").alias("part"), F.col("component").alias("mine")), "part").where("component <> mine")
+    best = fits.groupBy("mine", "rank").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    one = best.groupBy("mine").agg(F.max_by(F.struct("least", "most"), "rank").alias("b")).where("b.least = b.most").select("mine", F.col("b.least").alias("to"))
     joined = components(one, "mine", "to")
     final = group.join(joined.select(F.col("node").alias("j"), F.col("component").alias("top")), F.col("component") == F.col("j"), "left").select("node", F.coalesce("top", "component").alias("group"))
-    forms = nodes.select("node", F.struct("kind", "name", "field", "how").alias("form")).join(final, "node").select("form", "group")
-    out = rows.join(forms, "form").select("id", "group").distinct()
+    forms = nodes.join(final, "node").select("read", "group")
+    out = rows.join(forms, "read").select("id", "group").distinct()
     return out.join(out.groupBy("group").count().where("count > 1").select("group"), "group").select("id", "group")

@@ -94,9 +94,9 @@ def test_common_words_only(spark):
     assert sum((i, 1000 + i) in got for i in range(30)) >= 27
 
 
-GIVEN = [("Isabella", "Bella"), ("Ernestine", "Erna"), ("Harriet", "Hattie"), ("Augusta", "Gussie"), ("Gertrude", "Trudi"), ("Theodore", "Theo"), ("Theodora", "Dora")]
-SAME = [["Isabella Tokhekafalbus", "Bella Tokhekafalbus", "Tokhekafalbus, Isabella", "ISABELLA TOKHEKAFALBUS", "Isabella M. Tokhekafálbus", "Isabela Tokhekafalbus", "isabella_tokhekafalbus", "IsabellaTokhekafalbus", "I. Tokhekafalbus", "Dr. Isabella Tokhekafablus"], ["Harriet Somrijejakror", "H. Somrijejakror"], ["Augusta Somrijejakror"], ["Ernestine Pudnigevemtus", "Erna Pudnigevemtus"], ["Theodore Pudnigevemtus"]]
-FIRMS = [["Metpelilakden Services AG", "Metpelilakden Services", "The Metpelilakden Services AG", "Services Metpelilakden", "Metpelilakden Svcs Ltd"], ["Metpelilakden Museum Ltd", "Metpelilakden Musuem Ltd"], ["Hasfujesavgen Insurance GmbH", "Hasfu-jesavgen Insurance G.m.b.H.", "Hasfujesavgen Ins."]]
+GIVEN = [("Isabella", "Bella"), ("Ernestine", "Erna"), ("Harriet", "Hattie"), ("Augusta", "Gussie"), ("Gertrude", "Trudi"), ("Theodore", "Theo"), ("Theodora", "Dora"), ("Anthony", "Tony")]
+SAME = [["Isabella Tokhekafalbus", "Bella Tokhekafalbus", "Tokhekafalbus, Isabella", "ISABELLA TOKHEKAFALBUS", "Isabella M. Tokhekafálbus", "Isabela Tokhekafalbus", "isabella_tokhekafalbus", "IsabellaTokhekafalbus", "I. Tokhekafalbus", "Dr. Isabella Tokhekafablus"], ["Harriet Somrijejakror", "H. Somrijejakror"], ["Augusta Somrijejakror", "Augu. Somrijejakror"], ["Anthony Somrijejakror"], ["Ernestine Pudnigevemtus", "Erna Pudnigevemtus"], ["Theodore Pudnigevemtus"]]
+FIRMS = [["Metpelilakden Services AG", "Metpelilakden Services", "The Metpelilakden Services AG", "Services Metpelilakden", "Metpelilakden Svcs AG"], ["Metpelilakden Museum Ltd", "Metpelilakden Musuem Ltd", "Metpelilakden Limited"], ["Hasfujesavgen Insurance GmbH", "Hasfu-jesavgen Insurance G.m.b.H.", "Hasfujesavgen Ins."]]
 
 
 def test_names(spark):
