@@ -98,7 +98,17 @@ def graph_constrained_paths(spark, folder):
     return _shown(G.simple_paths(edges(spark, folder).where(F.col("r").isin(ALLOWED)), seeds(spark, folder), max_hops=4))
 
 
-@query("graph_beam_paths")
+def _beam_sql(hops: int, beam: int) -> str:
+    step = "1.0 / (0.5 * least(greatest(w, 0.1), 1.0) + 0.5 * least(greatest(c, 0.1), 1.0))"
+    parts = ["p0 AS (SELECT seed AS start, seed AS goal, [seed] AS path, CAST([] AS VARCHAR[]) AS relations, 0.0::DOUBLE AS cost FROM seeds)"]
+    for h in range(1, hops + 1):
+        parts.append(f"x{h} AS (SELECT p.start, e.t AS goal, list_append(p.path, e.t) AS path, list_append(p.relations, e.r) AS relations, p.cost + {step} AS cost FROM p{h - 1} p JOIN e ON e.s = p.goal WHERE e.s <> e.t AND NOT list_contains(p.path, e.t))")
+        parts.append(f"p{h} AS (SELECT start, goal, path, relations, cost FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY cost, path, relations) AS k FROM x{h}) WHERE k <= {beam})")
+    found = " UNION ALL ".join(f"SELECT *, {h} AS hops FROM p{h}" for h in range(1, hops + 1))
+    return f"WITH {EDGES}, {', '.join(parts)}, n AS (SELECT *, row_number() OVER (PARTITION BY start, goal ORDER BY cost, hops, path, relations) AS rank FROM ({found})) SELECT {SHOWN} FROM n WHERE rank <= 5"
+
+
+@query("graph_beam_paths", _beam_sql(4, 100))
 def graph_beam_paths(spark, folder):
     return _shown(G.simple_paths(edges(spark, folder), seeds(spark, folder), max_hops=4, by="cost", importance=0.5, certainty=0.5, beam=100))
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallix.plans.text import said
+from recallix.functions import text as X
+from recallix.plans.text import MESSAGES, any_sql, q, said, words_sql
 from recallix.streaming import ingest as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,12 @@ def ingested(spark, folder):
 QUERIES |= {"stream_windows": stream_windows, "stream_sessions": stream_sessions, "messages_ingested": ingested}
 SQL["stream_windows"] = "SELECT (floor(epoch(ts) / 3600) * 3600)::BIGINT AS starts, event_type, count(*) AS n FROM events GROUP BY ALL"
 SQL["stream_sessions"] = "WITH x AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) SELECT user_id, sum((b IS NULL OR ts - b >= INTERVAL 30 MINUTE)::INT)::BIGINT AS sessions, count(*) AS events FROM x GROUP BY ALL"
+
+
+def _ingested_sql() -> str:
+    fired = lambda level: " OR ".join(f"regexp_matches(content, {q(p)})" for _, p, of, _ in X.SAFETY_RULES if of == level)
+    asks = f"length(content) >= 3 AND (ends_with(lower(trim(content)), '?') OR {any_sql('lower(trim(content))', X.CATEGORIES['question'][:-1])})"
+    return f"WITH {MESSAGES} SELECT episode, pos, CASE WHEN {fired('blocked')} THEN 'blocked' WHEN {fired('warning')} THEN 'warning' ELSE 'safe' END AS level, {asks} AS is_question, greatest(1, {words_sql('content')} * 13 // 10)::INT AS tokens FROM msg"
+
+
+SQL["messages_ingested"] = _ingested_sql()
