@@ -94,6 +94,16 @@ def test_common_words_only(spark):
     assert sum((i, 1000 + i) in got for i in range(30)) >= 27
 
 
+def test_hot_group(spark):
+    # Each member has a word of its own: nothing rare is shared, and the shared words are in every member.
+    shared = " ".join(f"c{i}" for i in range(11))
+    rng = random.Random(4)
+    rows = [("s", i, f"{shared} own{i}") for i in range(6000)]
+    rows += [("s", 10_000 + i, " ".join(f"w{rng.randrange(4000)}" for _ in range(12))) for i in range(3000)]
+    groups = near_duplicates(spark.createDataFrame(rows, "src string, id bigint, text string"))
+    assert sorted(tuple(r) for r in groups.where("id < 10000").collect()) == [("s", i, 0) for i in range(6000)]
+
+
 GIVEN = [("Isabella", "Bella"), ("Ernestine", "Erna"), ("Harriet", "Hattie"), ("Augusta", "Gussie"), ("Gertrude", "Trudi"), ("Theodore", "Theo"), ("Theodora", "Dora"), ("Anthony", "Tony")]
 SAME = [["Isabella Tokhekafalbus", "Bella Tokhekafalbus", "Tokhekafalbus, Isabella", "ISABELLA TOKHEKAFALBUS", "Isabella M. Tokhekafálbus", "Isabela Tokhekafalbus", "isabella_tokhekafalbus", "IsabellaTokhekafalbus", "I. Tokhekafalbus", "Dr. Isabella Tokhekafablus"], ["Harriet Somrijejakror", "H. Somrijejakror"], ["Augusta Somrijejakror", "Augu. Somrijejakror"], ["Anthony Somrijejakror"], ["Ernestine Pudnigevemtus", "Erna Pudnigevemtus"], ["Theodore Pudnigevemtus"]]
 FIRMS = [["Metpelilakden Services AG", "Metpelilakden Services", "The Metpelilakden Services AG", "Services Metpelilakden", "Metpelilakden Svcs AG"], ["Metpelilakden Museum Ltd", "Metpelilakden Musuem Ltd", "Metpelilakden Limited"], ["Hasfujesavgen Insurance GmbH", "Hasfu-jesavgen Insurance G.m.b.H.", "Hasfujesavgen Ins."]]
