@@ -94,6 +94,18 @@ def test_common_words_only(spark):
     assert sum((i, 1000 + i) in got for i in range(30)) >= 27
 
 
+def test_common_words_recall(spark):
+    # Pairs of exactly 0.6 whose words are all common, with labels of several words.
+    rng = random.Random(3)
+    vocabulary = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        w = rng.sample(vocabulary, 15)
+        rows += [("s", 2 * i, " ".join(w[:12])), ("s", 2 * i + 1, " ".join(w[:9] + w[12:]))]
+    got = {r.id: r.group for r in near_duplicates(spark.createDataFrame(rows, "src string, id bigint, text string"), leaf=1).collect()}
+    assert sum(2 * i in got and got[2 * i] == got.get(2 * i + 1) for i in range(400)) >= 392
+
+
 def test_hot_group(spark):
     # Each member has a word of its own: nothing rare is shared, and the shared words are in every member.
     shared = " ".join(f"c{i}" for i in range(11))
