@@ -33,6 +33,12 @@ def said(spark, folder) -> DataFrame:
     return messages(table(spark, folder, "episodes"))
 
 
+def written(spark, folder) -> DataFrame:
+    """(src, row_id, pos, text): the texts of knowledge_items and of each message."""
+    one = items(spark, folder).select(F.lit("knowledge_items").alias("src"), F.col("id").alias("row_id"), F.lit(0).cast("long").alias("pos"), "text")
+    return one.unionByName(said(spark, folder).select(F.lit("episodes").alias("src"), F.col("episode").alias("row_id"), F.col("pos").cast("long").alias("pos"), F.col("content").alias("text")))
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -168,6 +174,12 @@ def text_emotion(spark, folder):
     return X.with_emotion(d, "text").select("doc_id", F.col("emotion.primary").alias("primary_emotion"), "emotion.intensity", "emotion.valence", "emotion.confidence")
 
 
+@query("text_emotion_documents")
+def text_emotion_documents(spark, folder):
+    d = table(spark, folder, "documents").select("doc_id", "text")
+    return X.with_emotion(d, "text").select("doc_id", F.col("emotion.primary").alias("primary_emotion"), "emotion.intensity", "emotion.valence", "emotion.arousal", "emotion.confidence")
+
+
 @query("text_emotion_messages")
 def text_emotion_messages(spark, folder):
     return X.with_emotion(said(spark, folder).select("episode", "pos", "content"), "content").select("episode", "pos", "emotion.*")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from recallix.functions import extraction as E
 from recallix.operators import records as D
+from recallix.plans import catalogue
 
 
 def one(spark, text, f):
@@ -67,3 +68,12 @@ def test_records(spark, tmp_path):
     edges = spark.createDataFrame([("a", "r", "b"), ("c", "r", "d"), ("e", "r", "f")], "s string, r string, t string")
     false = {tuple(r) for r in D.counterfactual_tests(edges, 5).collect()}
     assert false and not false & {("a", "r", "b"), ("c", "r", "d"), ("e", "r", "f")}
+
+
+def test_emotion_of_all_documents(spark, small, tmp_path):
+    texts = [("so happy 😭😭😭", "de"), ("I AM SO ANGRY AND FURIOUS", "EN"), ("Happy! Happy! Happy!", None), ("Café: I am very happy", "en_US"), ("no words of mood", "fr"), (None, "en")]
+    rows = [(i, t, x) for i, (t, x) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.primary_emotion for r in catalogue.QUERIES["text_emotion_documents"](spark, str(tmp_path)).collect()}
+    assert got == {0: "sadness", 1: "anger", 2: "joy", 3: "joy", 4: "neutral", 5: "neutral"}
+    assert catalogue.QUERIES["text_emotion_documents"](spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()
