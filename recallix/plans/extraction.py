@@ -11,7 +11,7 @@ from recallix.functions import extraction as E
 from recallix.functions import text as X
 from recallix.operators import records as D
 from recallix.plans.graph import EDGES, edges, seeds
-from recallix.plans.text import ITEMS, MESSAGES, items, q, said
+from recallix.plans.text import ITEMS, MESSAGES, items, q, said, written
 from recallix.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,11 @@ def extract_entity_pairs(spark, folder):
     return r.select("relationship_id", E.entity_pair(asked).alias("p")).select("relationship_id", "p.start", "p.goal")
 
 
+@query("extract_entity_pairs_written")
+def extract_entity_pairs_written(spark, folder):
+    return written(spark, folder).select("src", "row_id", "pos", E.entity_pair(F.col("text")).alias("p")).where("p is not null").select("src", "row_id", "pos", "p.start", "p.goal")
+
+
 @query("extract_question_facts", rf"WITH {MESSAGES}, t AS (SELECT episode, pos, trim(replace(replace(lower(content), 'why ', ''), '?', '')) AS t FROM msg WHERE content LIKE 'Why %'), w AS (SELECT *, regexp_split_to_array(t, '\s+') AS w FROM t) SELECT episode, pos, CASE WHEN regexp_matches(t, '^\w+\s+is\s+\w+') THEN regexp_extract(t, '^(\w+)\s+is\s+(\w+)', 1) WHEN regexp_matches(t, '^\w+\s+has\s+\w+') THEN regexp_extract(t, '^(\w+)\s+has\s+(\w+)', 1) ELSE w[1] END AS s FROM w WHERE len(w) >= 3")
 def extract_question_facts(spark, folder):
     return said(spark, folder).where(F.col("content").startswith("Why ")).select("episode", F.col("pos").cast("long").alias("pos"), E.fact_of_question(F.col("content")).alias("f")).where("f is not null").select("episode", "pos", "f.s")
@@ -65,6 +70,11 @@ def extract_marked_facts(spark, folder):
     return f.select("id", F.explode(E.marked_facts(said_, "!")).alias("x")).select("id", F.concat_ws(" ", "x.s", "x.r").alias("fact"))
 
 
+@query("extract_marked_facts_written")
+def extract_marked_facts_written(spark, folder):
+    return written(spark, folder).select("src", "row_id", "pos", F.explode(E.marked_facts(F.col("text"), "📚")).alias("x")).select("src", "row_id", "pos", "x.s", "x.r", "x.o")
+
+
 @query("text_to_graph", f"WITH {ITEMS}, x AS (" + " UNION ALL ".join(f"SELECT id, lower(unnest(regexp_extract_all(text, {q('(?i)' + p)}, {2 if turned else 1}))) AS s, '{n}' AS r, lower(unnest(regexp_extract_all(text, {q('(?i)' + p)}, {1 if turned else 2}))) AS t FROM k" for n, p, turned in X.RELATION_PATTERNS) + ") SELECT s, r, t, count(DISTINCT id) AS sources FROM x GROUP BY ALL")
 def text_to_graph(spark, folder):
     found = items(spark, folder).select("id", F.explode(X.relations(F.col("text"))).alias("x"))

@@ -149,6 +149,11 @@ def text_personal_facts(spark, folder):
     return c.select(F.col("c_custkey").alias("id"), F.explode(X.personal_facts(text)).alias("f")).select("id", "f.type", "f.value")
 
 
+@query("text_personal_facts_written")
+def text_personal_facts_written(spark, folder):
+    return written(spark, folder).select("src", "row_id", "pos", F.explode(X.personal_facts(F.col("text"))).alias("f")).select("src", "row_id", "pos", "f.type", "f.value")
+
+
 @query("text_personal_hint", f"WITH {MESSAGES} SELECT episode, pos, regexp_matches(content, {q(X.PERSONAL_HINT)}) AS personal FROM msg")
 def text_personal_hint(spark, folder):
     return said(spark, folder).select("episode", F.col("pos").cast("long").alias("pos"), X.contains_personal_fact(F.col("content")).alias("personal"))
