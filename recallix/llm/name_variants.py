@@ -184,14 +184,13 @@ def same_name(kind: str, a: tuple[str, str, str, str], b: tuple[str, str, str, s
     return int(len(part) > 1 and any(common_subsequence(part, w) >= 0.5 * len(part) for w in wholes))
 
 
-def block_keys(kind: str, name: str, field: str) -> list[tuple[str, str]]:
-    """(suffix, refinement): suffixes of the name shortened by 0, 3 and 6 letters, and its start with the field.
+def block_keys(kind: str, name: str) -> list[str]:
+    """Suffixes of the name shortened by 0, 3 and 6 letters, and its start.
 
     The start of the name is the suffix of the reversed token: it finds names that differ near their end.
     """
-    keys = [(f"{kind}{cut}:{name[: len(name) - cut][-6:]}", field[:1]) for cut in (0, 3, 6) if len(name) - cut >= 5]
-    keys.append((f"{kind}r:{name[:6]}", field[:1]))
-    return list(dict.fromkeys(keys))
+    keys = [f"{kind}{cut}:{name[: len(name) - cut][-6:]}" for cut in (0, 3, 6) if len(name) - cut >= 5]
+    return list(dict.fromkeys([*keys, f"{kind}r:{name[:6]}"]))
 
 
 def common_given_names(df: DataFrame, listed: list[str], share: float = 0.35, most: int = 50_000) -> list[str]:
@@ -220,10 +219,10 @@ def name_variants(df: DataFrame, names: DataFrame, most: int = 400) -> DataFrame
 
     A name is read into a surname and a given name (in full, by a listed short form, or as a likeness of one), or
     a firm's own word and its trade; case, accents, titles, order, legal forms and middle initials don't count.
-    Equal readings are one node. Suffix blocking: suffixes of the surname or own word, of at least 5 letters, are
-    indexed; a suffix of more than `most` nodes is refined by the first letter of the given name or trade, and
-    discarded only if it is still that common. Nodes of one block are compared by the ratio of their longest
-    common subsequence. Full names that agree are linked; a name with an initial, an unlisted given name or no
+    Equal readings are one node. Suffix blocking: suffixes of the distinct surnames or own words, of at least 5
+    letters, are indexed; those of one block are compared by the ratio of their longest common subsequence, a block
+    of more than `most` in salted parts. None is discarded. Of close names, nodes with a full given name or trade are
+    compared if they share one of its readings, all others with every node. Full names that agree are linked; a name with an initial, an unlisted given name or no
     trade joins the group it fits best, if that is one alone.
 
     Defined cases: null or empty entities and null ids have no group; a null type is read from the name; repeated
@@ -244,17 +243,30 @@ def name_variants(df: DataFrame, names: DataFrame, most: int = 400) -> DataFrame
     rows = checkpoint(rows.select("id", F.struct("kind", "name", "field", "how", "form").alias("read")))
     nodes = checkpoint(rows.groupBy("read").agg(F.min("id").alias("node")))
 
-    @F.pandas_udf("array<struct<key:string,finer:string>>")
-    def keys(kind: pd.Series, name: pd.Series, field: pd.Series) -> pd.Series:
-        return pd.Series([[{"key": k, "finer": f} for k, f in block_keys(*x)] for x in zip(kind, name, field)])
-
-    index = nodes.select("node", "read", F.explode(keys("read.kind", "read.name", "read.field")).alias("k")).select("node", "read", "k.key", "k.finer")
-    common = index.groupBy("key").count().where(F.col("count") > most).select("key", F.lit(True).alias("common"))
-    index = index.join(common, "key", "left").withColumn("key", F.when(F.col("common"), F.concat_ws("/", "key", "finer")).otherwise(F.col("key"))).select("node", "read", "key")
-    still = index.groupBy("key").count().where(F.col("count") > most)
-    index = index.join(still, "key", "left_anti")
-    other = index.select(F.col("node").alias("node2"), F.col("read").alias("read2"), "key")
-    close = index.join(other, "key").where("node < node2 and abs(length(read.name) - length(read2.name)) <= 3").select("node", "node2", "read", "read2").dropDuplicates(["node", "node2"])
+    @F.pandas_udf("array<string>")
+    def keys(kind: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([block_keys(*x) for x in zip(kind, name)])
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio(x, y) >= NAME for x, y in zip(a, b)], dtype="bool")
+
+    index = nodes.select("read.kind", "read.name").distinct().select("kind", "name", F.explode(keys("kind", "name")).alias("key"))
+    sizes = index.groupBy("key").count().where("count > 1").select("key", F.least(F.lit(64), F.ceil(F.col("count") / most)).cast("int").alias("parts"))
+    index = index.join(sizes, "key")
+    one = index.withColumn("part", F.pmod(F.hash("name"), F.col("parts")))
+    other = index.select("key", F.col("name").alias("name2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    near = one.join(other, ["key", "part"]).where((F.col("name") < F.col("name2")) & (2 * F.least(F.length("name"), F.length("name2")) >= NAME * (F.length("name") + F.length("name2")) - 1e-9))
+    near = near.select("kind", "name", "name2").distinct().where(alike("name", "name2"))
+    near = near.select("kind", F.explode(F.array(F.struct("name", "name2"), F.struct(F.col("name2").alias("name"), F.col("name").alias("name2")))).alias("x")).select("kind", "x.name", "x.name2")
+    near = checkpoint(near.unionByName(nodes.select("read.kind", "read.name", F.col("read.name").alias("name2")).distinct()))
+
+    left = nodes.select("node", "read", "read.kind", "read.name")
+    right = nodes.select(F.col("node").alias("node2"), F.col("read").alias("read2"), "read.kind", F.col("read.name").alias("name2"))
+    of = lambda read: F.explode(F.array_distinct(F.split(F.col(read)["field"], r"\|"))).alias("of")
+    full = left.where("read.how = 'full'").select("*", of("read")).join(near, ["kind", "name"]).join(right.where("read2.how = 'full'").select("*", of("read2")), ["kind", "name2", "of"]).where("node < node2").select("node", "node2", "read", "read2")
+    part = left.where("read.how = 'part'").join(near, ["kind", "name"]).join(right, ["kind", "name2"]).where("node < node2 or node > node2 and read2.how = 'full'").select("node", "node2", "read", "read2")
+    close = full.unionByName(part).dropDuplicates(["node", "node2"])
 
     @F.pandas_udf("int")
     def judge(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:

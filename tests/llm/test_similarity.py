@@ -137,6 +137,15 @@ def test_names(spark):
     assert name_variants(df.limit(0), names).count() == 0 and name_variants(df, names.limit(0)).count() >= 0
 
 
+def test_common_surname(spark):
+    given = [f"A{a}{b}{c}ora" for a in "bdfgklmn" for b in "aeiou" for c in "bcdfghklmnpr"][:450]
+    rows = [(i, f"{g} Tokhekafalbus", "person") for i, g in enumerate(given)] + [(1000 + i, f"{g} Tokhekafallbus", "person") for i, g in enumerate(given)]
+    rows += [(5000, "Metpelilakden AG", "company"), (5001, "Metpelilakden Museum AG", "company")] + [(6000 + i, f"Metpelilakden{a}{b} Museum Ltd", "company") for i, (a, b) in enumerate((a, b) for a in "abcd" for b in "efgh")]
+    df = spark.createDataFrame(rows, "id bigint, entity string, entity_type string")
+    got = {r.id: r.group for r in name_variants(df, spark.createDataFrame([(g, g) for g in given], "given string, short_form string"), most=5).collect()}
+    assert all(got.get(i) == i and got.get(1000 + i) == i for i in range(450)) and got[5001] == 5000
+
+
 def test_readings():
     r = Reader(GIVEN)
     assert r.read("Theodora Hospuhadorsen", "person")[2] == "theodora" and r.read("Theodore Hospuhadorsen", "person")[2] == "theodore"
