@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -184,13 +185,19 @@ def same_name(kind: str, a: tuple[str, str, str, str], b: tuple[str, str, str, s
     return int(len(part) > 1 and any(common_subsequence(part, w) >= 0.5 * len(part) for w in wholes))
 
 
-def block_keys(kind: str, name: str) -> list[str]:
-    """Suffixes of the name shortened by 0, 3 and 6 letters, and its start.
+def block_keys(kind: str, name: str, deep: int = 2, longest: int = 16) -> list[str]:
+    """Suffixes of the name and of its reverse (its starts), and the name without some of its letters.
 
-    The start of the name is the suffix of the reversed token: it finds names that differ near their end.
+    Names with a ratio of NAME at least lose at most n * (1 - NAME / (2 - NAME)) of their n letters to the common
+    subsequence: one letter from 4 on, two from 7, three from 11. A name of up to `longest` letters is put under all
+    it becomes without that many letters, `deep` at most; so names of up to 10 letters meet for sure, and up to
+    `longest` if neither loses more than two. Suffixes and starts have six letters, shortened by 0, 1, 2, ... letters.
     """
-    keys = [f"{kind}{cut}:{name[: len(name) - cut][-6:]}" for cut in (0, 3, 6) if len(name) - cut >= 5]
-    return list(dict.fromkeys([*keys, f"{kind}r:{name[:6]}"]))
+    keys = {f"{kind}s:{name[max(0, z - 6) : z]}" for z in range(max(5, len(name) - 6), len(name) + 1)} | {f"{kind}r:{name[a : a + 6]}" for a in range(max(1, min(7, len(name) - 4)))}
+    if len(name) <= longest:
+        for gone in range(min(deep, int(len(name) * (1 - NAME / (2 - NAME)) + 1e-9)) + 1):
+            keys.update(f"{kind}d:{''.join(c)}" for c in itertools.combinations(name, len(name) - gone))
+    return sorted(keys)
 
 
 def common_given_names(df: DataFrame, listed: list[str], share: float = 0.35, most: int = 50_000) -> list[str]:
@@ -219,8 +226,9 @@ def name_variants(df: DataFrame, names: DataFrame, most: int = 400) -> DataFrame
 
     A name is read into a surname and a given name (in full, by a listed short form, or as a likeness of one), or
     a firm's own word and its trade; case, accents, titles, order, legal forms and middle initials don't count.
-    Equal readings are one node. Suffix blocking: suffixes of the distinct surnames or own words, of at least 5
-    letters, are indexed; those of one block are compared by the ratio of their longest common subsequence, a block
+    Equal readings are one node. Suffix blocking: suffixes of the distinct surnames or own words and of
+    their reverse, of at least 5 letters, are indexed, and what names of up to 16 letters are without one or two of
+    their letters (block_keys); those of one block are compared by the ratio of their longest common subsequence, a block
     of more than `most` in salted parts. None is discarded. Of close names, nodes with a full given name or trade are
     compared if they share one of its readings, all others with every node. Full names that agree are linked; a name with an initial, an unlisted given name or no
     trade joins the group it fits best, if that is one alone.

@@ -146,6 +146,14 @@ def test_common_surname(spark):
     assert all(got.get(i) == i and got.get(1000 + i) == i for i in range(450)) and got[5001] == 5000
 
 
+def test_short_surnames(spark):
+    pairs = [("Wolf", "Wolff"), ("Smith", "Smithe"), ("Miller", "Muller"), ("Hartmann", "Hardmann"), ("Tokhekafalbus", "Tokrekafilbus")]
+    rows = [(10 * i + j, f"Isabella {x}", "person") for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    df = spark.createDataFrame(rows, "id bigint, entity string, entity_type string")
+    got = {(r.id, r.group) for r in name_variants(df, spark.createDataFrame(GIVEN, "given string, short_form string")).collect()}
+    assert got == {(10 * i + j, 10 * i) for i in range(len(pairs)) for j in (0, 1)}
+
+
 def test_readings():
     r = Reader(GIVEN)
     assert r.read("Theodora Hospuhadorsen", "person")[2] == "theodora" and r.read("Theodore Hospuhadorsen", "person")[2] == "theodore"
