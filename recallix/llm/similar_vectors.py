@@ -71,22 +71,30 @@ def _encoder(dims: int, centre: np.ndarray, projection: np.ndarray):
     return encode
 
 
-def _close_pairs(code: np.ndarray, first: int, second: int, radius: int, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius whose first (and second, if not -1) equal substring is the given one."""
+def radius_for(train: np.ndarray, centre: np.ndarray, projection: np.ndarray, least: float, recall: float = 0.995, pairs: int = 8192, seed: int = 13) -> int:
+    """The bits within which the codes of this share of pairs with cosine `least` lie; one of a pair is of the sample."""
+    rng = np.random.default_rng(seed)
+    x = train[rng.integers(0, len(train), pairs)] if len(train) else rng.standard_normal((pairs, len(projection)))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal(x.shape)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = least * x + np.sqrt(1 - least**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    return int(np.quantile((((x - centre) @ projection > 0) != ((y - centre) @ projection > 0)).sum(1), recall, method="higher"))
+
+
+def _close_pairs(code: np.ndarray, first: int, cut: int, radius: int, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius whose first equal substring is the given one; from both sides of the cut, if not 0."""
     n = len(code)
-    for a in range(0, n, block):
-        x = code[a : a + block]
-        far = np.bitwise_count(x[:, None, 0] ^ code[None, a:, 0]) + np.bitwise_count(x[:, None, 1] ^ code[None, a:, 1])
+    for a in range(0, cut or n, block):
+        x, b = code[a : min(a + block, cut or n)], cut or a
+        far = np.bitwise_count(x[:, None, 0] ^ code[None, b:, 0]) + np.bitwise_count(x[:, None, 1] ^ code[None, b:, 1])
         i, j = np.nonzero(far <= radius)
+        i, j = i + a, j + b
         keep = j > i
-        i, j = i[keep] + a, j[keep] + a
+        i, j = i[keep], j[keep]
         if len(i):
             same = (code[i] ^ code[j]).view("u1").reshape(len(i), PARTS) == 0
-            at = same.argmax(1)
-            keep = at == first
-            if second >= 0:
-                same[np.arange(len(i)), at] = False
-                keep &= same.any(1) & (same.argmax(1) == second)
+            keep = same.argmax(1) == first
             yield i[keep], j[keep]
 
 
@@ -96,14 +104,17 @@ def _matcher(radius: int):
 
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
             t = t.combine_chunks()
-            keys, ids, src = t.column("key").to_numpy(), t.column("id").combine_chunks(), t.column("src")
+            keys, blocks, ids, src = t.column("key").to_numpy(), t.column("block").to_numpy(), t.column("id").combine_chunks(), t.column("src")
             code = np.stack([t.column("c1").to_numpy(), t.column("c2").to_numpy()], 1).view("u8")
             cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else [0]
             left, right = [], []
             for a, z in zip(cuts[:-1], cuts[1:]):
                 if z - a > 1:
                     spot = int(keys[a]) % 1_000_000
-                    for i, j in _close_pairs(code[a:z], spot // 1000 - 1, spot % 1000 - 1, radius):
+                    cut = int(np.count_nonzero(blocks[a:z] == blocks[a])) if spot % 1000 else 0
+                    if cut == z - a:
+                        continue  # two blocks to compare, but one of them is empty
+                    for i, j in _close_pairs(code[a:z], spot // 1000 - 1, cut, radius):
                         left.append(i + a)
                         right.append(j + a)
             if left:
@@ -111,7 +122,7 @@ def _matcher(radius: int):
                 for k in range(0, len(i), 100_000):
                     yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (src.take(i[k : k + 100_000]), ids.take(i[k : k + 100_000]), ids.take(j[k : k + 100_000]))], names=["src", "a", "b"])
 
-        for batch in batches:  # sorted by key: only the last key of a batch may go on
+        for batch in batches:  # sorted by key and block: only the last key of a batch may go on
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([held, t]) if held is not None else t
             keys = t.column("key").to_numpy()
@@ -127,7 +138,7 @@ def _matcher(radius: int):
     return match
 
 
-def similar_vectors(df: DataFrame, k: int = 5, least: float = 0.85, dims: int = 64, radius: int = 28, sample: int = 8192, hot: int = 40_000) -> DataFrame:
+def similar_vectors(df: DataFrame, k: int = 5, least: float = 0.85, dims: int = 64, radius: int | None = None, sample: int = 8192, hot: int = 40_000) -> DataFrame:
     """Pairs (src, id_a, id_b, cosine) of rows of one src with cosine >= least, one among the k nearest of the other.
 
     df has src, id (string) and embedding (array<float>); other columns play no part. Only usable vectors count:
@@ -137,8 +148,9 @@ def similar_vectors(df: DataFrame, k: int = 5, least: float = 0.85, dims: int =
     vector a 128-bit code, cut into 16 substrings of 8 bits; every vector is put into the bucket of each of its
     substrings. Two codes that differ in fewer than 16 bits share a bucket for sure (pigeonhole), those of two
     vectors with cosine 0.85 with a probability of 0.98. Within a bucket the codes within `radius` are pairs
-    (each found once, in its first common bucket); these are reranked by their floats. A bucket of more than
-    `hot` codes is split by a second common substring in the same way, so no bucket grows with a dense region.
+    (each found once, in its first common bucket); these are reranked by their floats. Without a given radius it is
+    the one that holds 0.995 of pairs at `least` (radius_for). A bucket of more than `hot` codes is compared whole,
+    too: it is dealt into blocks of about half as many, and each pair of blocks is one task's key.
 
     Copies of a vector are one class: only its smallest id is indexed. Each of the copies has the others (by id)
     before all else among its k nearest, then the nearest classes, the members of each by id.
@@ -151,7 +163,9 @@ def similar_vectors(df: DataFrame, k: int = 5, least: float = 0.85, dims: int =
     every = max(1, total // sample)
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("embedding").limit(4 * sample).toArrow()
     _, train = usable(drawn.column(0), dims)
-    encoder = _encoder(dims, *learn_rotation(train))
+    rotation = learn_rotation(train)
+    radius = radius_for(train, *rotation, least) if radius is None else radius
+    encoder = _encoder(dims, *rotation)
     coded = checkpoint(rows.mapInArrow(encoder, "src string, id string, h1 bigint, h2 bigint, c1 bigint, c2 bigint, unit array<float>"))
 
     same = ["src", "h1", "h2"]
@@ -161,14 +175,13 @@ def similar_vectors(df: DataFrame, k: int = 5, least: float = 0.85, dims: int =
 
     spread = classes.select("src", "id", "c1", "c2", F.posexplode(F.expr("transform(sequence(0, 15), i -> cast(shiftrightunsigned(if(i < 8, c1, c2), 8 * (i % 8)) & 255 as int))")).alias("part", "value"))
     sizes = spread.groupBy("src", "part", "value").count()  # at most 4,096 rows a src
-    crowded = sizes.where(F.col("count") > hot).select("src", "part", "value", F.lit(True).alias("crowded"))
-    spread = spread.join(F.broadcast(crowded), ["src", "part", "value"], "left")
-    second = F.expr("if(crowded, filter(transform(sequence(0, 15), i -> struct(i as p, cast(shiftrightunsigned(if(i < 8, c1, c2), 8 * (i % 8)) & 255 as int) as v)), s -> s.p != part), array(struct(-1 as p, 0 as v)))")
-    spread = spread.select("src", "id", "c1", "c2", "part", "value", F.explode(second).alias("s"))
-    # The last six digits of a key tell its substrings; the rest is a hash of where and what they are.
-    where = F.pmod(F.xxhash64("src", "part", "value", "s.p", "s.v"), F.lit(9_000_000_000_000)) * 1_000_000
-    spread = spread.select((where + (F.col("part") + 1) * 1000 + F.col("s.p") + 1).alias("key"), "src", "id", "c1", "c2")
-    near = spread.repartition("key").sortWithinPartitions("key").mapInArrow(_matcher(radius), "src string, a string, b string")
+    crowded = sizes.where(F.col("count") > hot).select("src", "part", "value", F.ceil(2 * F.col("count") / hot).cast("int").alias("blocks"))
+    spread = spread.join(F.broadcast(crowded), ["src", "part", "value"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int"))
+    spread = spread.select("src", "id", "c1", "c2", "part", "value", "block", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("with"))
+    # The last six digits of a key tell its substring and whether it is of two blocks; the rest is a hash of where and what they are.
+    where = F.pmod(F.xxhash64("src", "part", "value", F.least("block", "with"), F.greatest("block", "with")), F.lit(9_000_000_000_000)) * 1_000_000
+    spread = spread.select((where + (F.col("part") + 1) * 1000 + (F.col("block") != F.col("with")).cast("int")).alias("key"), "block", "src", "id", "c1", "c2")
+    near = spread.repartition("key").sortWithinPartitions("key", "block").mapInArrow(_matcher(radius), "src string, a string, b string")
 
     units = coded.select("src", "id", "unit")
     left = units.select(F.col("src"), F.col("id").alias("a"), F.col("unit").alias("ua"))

@@ -40,6 +40,19 @@ def test_vectors(spark, hot):
     assert similar_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_near_the_bound(spark):
+    # Pairs at 0.86 and no others; hot buckets lose none of them.
+    rng = np.random.default_rng(8)
+    x, y = (a / np.linalg.norm(a, axis=1, keepdims=True) for a in (rng.standard_normal((1500, 64)) for _ in range(2)))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.86 * x + np.sqrt(1 - 0.86**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [("a", f"{n}{i:04}", list(map(float, v))) for n, m in (("x", x), ("y", y)) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "src string, id string, embedding array<double>")
+    want = {(f"x{i:04}", f"y{i:04}") for i in range(1500)}
+    got, hot = ({(r.id_a, r.id_b) for r in similar_vectors(df, **k).collect()} for k in ({}, {"hot": 8}))
+    assert got == hot and len(got & want) >= 0.96 * len(want)
+
+
 def test_rotation_is_orthogonal():
     c, p = learn_rotation(np.random.default_rng(0).standard_normal((500, 16)), 32)
     assert np.allclose(p[:, :16].T @ p[:, :16], np.eye(16), atol=1e-4) and c.shape == (16,)
