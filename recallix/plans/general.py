@@ -43,8 +43,8 @@ def _times(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The UTC instant of each valid time of graph_entities, episodes and fact_triples."""
-    out = to_instants(_times(spark, folder), "text", "source", "row_id", table(spark, folder, "source_profiles"), stream="src")
+    """The UTC instant of each valid time of graph_entities, episodes and fact_triples; of undeclared sources in UTC."""
+    out = to_instants(_times(spark, folder), "text", "source", "row_id", table(spark, folder, "source_profiles"), stream="src", estimate=False)
     return out.where("utc_us is not null").select("src", "row_id", "utc_us")
 
 

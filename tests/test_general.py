@@ -138,6 +138,25 @@ def test_zones_are_estimated_from_the_order_of_arrival(spark):
     assert got[i] == round(datetime.fromisoformat(t).replace(tzinfo=ZoneInfo("Asia/Tokyo")).timestamp() * 1e6)
 
 
+def test_undeclared_sources_are_utc_whatever_their_order(spark, tmp_path):
+    from recallix.plans.general import p6_found
+
+    rng, rows, at = random.Random(4), [], datetime(2021, 1, 1, tzinfo=timezone.utc)
+    for i in range(6000):
+        at += timedelta(minutes=rng.randrange(5, 120))
+        source = rng.choice(["clock", "tokyo"])
+        rows.append((i, at.astimezone(ZoneInfo("Asia/Tokyo")).strftime("%Y-%m-%d %H:%M:%S") if source == "tokyo" else at.strftime("%Y-%m-%dT%H:%M:%SZ"), source))
+    save = lambda df, name: df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    facts = spark.createDataFrame(rows, "id bigint, timestamp string, source string")
+    save(facts, "fact_triples")
+    save(facts.limit(0).select("id", F.col("timestamp").alias("temporal_start"), F.col("source").alias("provenance")), "graph_entities")
+    save(facts.limit(0).select("id", F.col("timestamp").alias("start_time"), F.col("source").alias("metadata")), "episodes")
+    save(spark.createDataFrame([("other", "Asia/Tokyo", "ymd"), ("more", "Europe/Berlin", "ymd")], "source string, zone_name string, date_order string"), "source_profiles")
+    got = {r.row_id: r.utc_us for r in p6_found(spark, str(tmp_path)).collect()}
+    assert len(got) == 6000
+    assert all(got[i] == round(datetime.fromisoformat(t).replace(tzinfo=timezone.utc).timestamp() * 1e6) for i, t, s in rows if s == "tokyo")
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, None), (7, 7)]
