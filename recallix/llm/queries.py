@@ -132,4 +132,12 @@ def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments}
 
-SQL: dict[str, str] = {}
+SOUND = "embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_VECTORS = " UNION ALL ".join(f"SELECT '{t}' AS src, CAST(id AS VARCHAR) AS id, embedding FROM {t} WHERE {SOUND}" for t in ("vector_embeddings", "knowledge_items", "graph_entities"))
+#: Brute force over all pairs.
+P3_SQL = f"""WITH v AS ({_VECTORS}), u AS (SELECT DISTINCT src, id, CAST(embedding AS DOUBLE[]) AS e FROM v),
+c AS (SELECT a.src, a.id AS a, b.id AS b, a.e = b.e AS same, list_cosine_similarity(a.e, b.e) AS cosine FROM u a JOIN u b ON a.src = b.src AND a.id <> b.id),
+n AS (SELECT *, row_number() OVER (PARTITION BY src, a ORDER BY same DESC, cosine DESC, b) AS place FROM c)
+SELECT DISTINCT src, least(a, b) AS id_a, greatest(a, b) AS id_b FROM n WHERE place <= 5 AND (cosine >= 0.85 OR same)"""
+
+SQL: dict[str, str] = {"p3_found": P3_SQL}

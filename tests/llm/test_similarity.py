@@ -3,12 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from recallix.llm.name_variants import Reader, common_subsequence, name_variants, ratio
 from recallix.llm.near_duplicates import group_pairs, near_duplicates
-from recallix.llm.similar_vectors import learn_rotation, similar_vectors
+from recallix.llm.similar_vectors import _matcher, _spreader, cut_code, learn_rotation, similar_vectors
 
 
 def brute(v, ids, k=5, least=0.85):
@@ -21,8 +22,8 @@ def brute(v, ids, k=5, least=0.85):
     return out
 
 
-@pytest.mark.parametrize("hot", [40_000, 12])
-def test_vectors(spark, hot):
+@pytest.mark.parametrize("load", [1_000_000, 50])
+def test_vectors(spark, load):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((300, 64))
     v = np.concatenate([base, base[:200] + rng.normal(0, 0.35, (200, 64)), base[:60] + rng.normal(0, 0.2, (60, 64)), base[:3].repeat(9, 0)]).astype("f4")
@@ -30,9 +31,10 @@ def test_vectors(spark, hot):
     v[-27:] = np.repeat(v[:3], 9, 0)  # exact copies
     ids = [f"v{i:04}" for i in range(len(v))]
     rows = [("a", i, list(map(float, x))) for i, x in zip(ids, v)]
+    rows += rows[5:8]  # repeated rows
     rows += [("a", "null", None), ("a", "short", [1.0] * 63), ("a", "zero", [0.0] * 64), ("a", "nan", [float("nan")] * 64), ("b", "v0001", list(map(float, v[1]))), (None, "x", list(map(float, v[1])))]
     df = spark.createDataFrame(rows, "src string, id string, embedding array<double>").withColumn("key", F.lit(1))
-    got = {(r.id_a, r.id_b) for r in similar_vectors(df, hot=hot).where("src = 'a'").collect()}
+    got = {(r.id_a, r.id_b) for r in similar_vectors(df, load=load).where("src = 'a'").collect()}
     want = brute(v.astype("f8"), ids)
     assert len(got & want) >= 0.97 * len(want)
     cos = lambda a, b: float(np.dot(v[ids.index(a)], v[ids.index(b)]) / np.linalg.norm(v[ids.index(a)]) / np.linalg.norm(v[ids.index(b)]))
@@ -40,17 +42,35 @@ def test_vectors(spark, hot):
     assert similar_vectors(df.limit(0)).count() == 0
 
 
-def test_vectors_near_the_bound(spark):
-    # Pairs at 0.86 and no others; hot buckets lose none of them.
+@pytest.mark.parametrize("low, high", [(0.85, 0.87), (0.87, 0.90), (0.90, 0.97)])
+def test_recall_by_band(spark, low, high):
+    # Pairs of one band of similarity and no others, among many more vectors than the rotation is fitted to.
     rng = np.random.default_rng(8)
-    x, y = (a / np.linalg.norm(a, axis=1, keepdims=True) for a in (rng.standard_normal((1500, 64)) for _ in range(2)))
+    x, y = (a / np.linalg.norm(a, axis=1, keepdims=True) for a in (rng.standard_normal((3000, 64)) for _ in range(2)))
+    cosine = rng.uniform(low, high, (3000, 1))
     y -= (x * y).sum(1, keepdims=True) * x
-    y = 0.86 * x + np.sqrt(1 - 0.86**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    rows = [("a", f"{n}{i:04}", list(map(float, v))) for n, m in (("x", x), ("y", y)) for i, v in enumerate(m)]
+    y = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [("a", f"{n}{i:04}", v.tolist()) for n, m in (("x", x), ("y", y)) for i, v in enumerate(m)]
     df = spark.createDataFrame(rows, "src string, id string, embedding array<double>")
-    want = {(f"x{i:04}", f"y{i:04}") for i in range(1500)}
-    got, hot = ({(r.id_a, r.id_b) for r in similar_vectors(df, **k).collect()} for k in ({}, {"hot": 8}))
-    assert got == hot and len(got & want) >= 0.96 * len(want)
+    want = {(f"x{i:04}", f"y{i:04}") for i in range(3000) if cosine[i] >= 0.8501}
+    got, cut = ({(r.id_a, r.id_b) for r in similar_vectors(df, sample=1500, **k).collect()} for k in ({}, {"load": 500}))
+    assert got == cut and len(got & want) >= 0.98 * len(want)
+
+
+@pytest.mark.parametrize("n, load, radius", [(1000, 10**6, 30), (1000, 90, 30), (1000, 90, 12), (10**6, 10**6, 33)])
+def test_probing_misses_no_code(n, load, radius):
+    # Every pair within the radius comes out exactly once, whatever the cut and the regions.
+    rng = np.random.default_rng(4)
+    c = rng.integers(0, 2**63, (300, 2), dtype="u8") * np.uint64(2) + np.uint64(1)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(128, rng.integers(0, radius + 3), replace=False)) for _ in range(300)], dtype=object)
+    c = np.concatenate([c, c ^ np.array([[int(f) & (2**64 - 1), int(f) >> 64] for f in flips], "u8")])
+    cut = cut_code(radius, n, load)
+    assert sum(t + 1 for t in cut.limits) > radius and sum(cut.widths) == 128
+    batch = pa.RecordBatch.from_arrays([pa.array(["s"] * 600), pa.array([str(i) for i in range(600)]), pa.array(c[:, 0].copy().view("i8")), pa.array(c[:, 1].copy().view("i8"))], names=["src", "id", "c1", "c2"])
+    rows = pa.Table.from_batches(list(_spreader(cut)(iter([batch])))).sort_by([("spot", "ascending")])
+    got = [tuple(sorted((int(a), int(b)))) for out in _matcher(cut, radius)(iter(rows.to_batches(max_chunksize=1000))) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())]
+    far = np.bitwise_count(c[:, None] ^ c[None]).astype("i8").sum(2)
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(600) for j in range(i + 1, 600) if far[i, j] <= radius}
 
 
 def test_rotation_is_orthogonal():
