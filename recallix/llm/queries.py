@@ -140,4 +140,12 @@ c AS (SELECT a.src, a.id AS a, b.id AS b, a.e = b.e AS same, list_cosine_similar
 n AS (SELECT *, row_number() OVER (PARTITION BY src, a ORDER BY same DESC, cosine DESC, b) AS place FROM c)
 SELECT DISTINCT src, least(a, b) AS id_a, greatest(a, b) AS id_b FROM n WHERE place <= 5 AND (cosine >= 0.85 OR same)"""
 
-SQL: dict[str, str] = {"p3_found": P3_SQL}
+#: All pairs that share a word, linked if they share enough; groups by recursion.
+_P4 = r"""WITH RECURSIVE t AS (SELECT 'knowledge_items' AS src, id, text FROM knowledge_items UNION ALL SELECT 'fact_triples', id, object FROM fact_triples),
+w AS (SELECT src, id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM t WHERE text IS NOT NULL), p AS (SELECT src, id, len(w) AS n, unnest(w) AS x FROM w WHERE len(w) >= 6),
+s AS (SELECT a.src, a.id AS a, b.id AS b, a.n + b.n AS n, count(*) AS shared FROM p a JOIN p b ON a.src = b.src AND a.x = b.x AND a.id < b.id GROUP BY ALL), e AS (SELECT src, a, b FROM s WHERE shared >= 0.6 * (n - shared) - 1e-9),
+u AS (SELECT src, a, b FROM e UNION SELECT src, b, a FROM e), r AS (SELECT src, a AS node, a AS other FROM u UNION SELECT r.src, r.node, u.b FROM r JOIN u ON u.src = r.src AND u.a = r.other)"""
+P4_SQL = f"{_P4} SELECT src, node AS id_a, other AS id_b FROM r WHERE node < other"
+P4_GROUPS_SQL = f"{_P4} SELECT src, node AS id, min(other) AS group_id FROM r GROUP BY ALL"
+
+SQL: dict[str, str] = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p4_groups": P4_GROUPS_SQL}

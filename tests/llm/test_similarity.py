@@ -3,12 +3,13 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from recallix.llm.name_variants import Reader, common_subsequence, name_variants, ratio
-from recallix.llm.near_duplicates import group_pairs, near_duplicates
+from recallix.llm.near_duplicates import _labels, group_pairs, near_duplicates, word_table
 from recallix.llm.similar_vectors import _matcher, _spreader, cut_code, learn_rotation, similar_vectors
 
 
@@ -139,13 +140,43 @@ def test_common_words_recall(spark):
     assert sum(2 * i in got and got[2 * i] == got.get(2 * i + 1) for i in range(400)) >= 392
 
 
-def test_hot_group(spark):
+def test_comparisons_do_not_grow():
+    # Words that occur together, ten times as many records: the regions and what is compared in them stay the same.
+    def per_record(n):
+        rng = np.random.default_rng(1)
+        topics = rng.permutation(200_000).reshape(-1, 20)[: n // 50]
+        lists = [sorted({f"w{x}" for x in rng.choice(topics[rng.integers(len(topics))], 8, replace=False)} | {f"f{x}" for x in (rng.zipf(1.3, 4) % 100_000)}) for _ in range(n)]
+        count = {}
+        for x in lists:
+            for w in x:
+                count[w] = count.get(w, 0) + 1
+        often = sorted((int(pd.util.hash_array(np.array([w], dtype=object), categorize=False)[0]), c) for w, c in count.items() if c > 48)
+
+        class Table:
+            value = np.array([h for h, _ in often], "u8"), np.array([c for _, c in often], "f8")
+
+        batch = pa.RecordBatch.from_arrays([pa.array(["s"] * n), pa.array(np.arange(n)), pa.array(lists)], names=["src", "id", "words"])
+        keys = np.concatenate([out["key"].to_numpy() for out in _labels(Table, n, 48, 192, 0.6, 0.99, 4, 5)(iter([batch]))])
+        sizes = np.unique(keys, return_counts=True)[1].astype("f8")
+        return (sizes * (sizes - 1) / 2).sum() / n, sizes.max()
+
+    (small, most), (large, most10) = per_record(3_000), per_record(30_000)
+    assert large <= 3 * small + 50 and most10 <= 3 * most + 200
+
+
+def test_word_table(spark):
+    counts = spark.createDataFrame([(f"w{i}", i) for i in range(1, 201)], "w string, count bigint")
+    assert [(leaf, len(h)) for leaf, h, _ in (word_table(counts, 48, m) for m in (1000, 152, 151, 100, 10))] == [(48, 152), (48, 152), (64, 136), (128, 72), (256, 0)]
+
+
+@pytest.mark.parametrize("how", [{}, {"block": 3000, "every": 1}, {"most_common": 5}])
+def test_hot_group(spark, how):
     # Each member has a word of its own: nothing rare is shared, and the shared words are in every member.
     shared = " ".join(f"c{i}" for i in range(11))
     rng = random.Random(4)
     rows = [("s", i, f"{shared} own{i}") for i in range(6000)]
     rows += [("s", 10_000 + i, " ".join(f"w{rng.randrange(4000)}" for _ in range(12))) for i in range(3000)]
-    groups = near_duplicates(spark.createDataFrame(rows, "src string, id bigint, text string"))
+    groups = near_duplicates(spark.createDataFrame(rows, "src string, id bigint, text string"), **how)
     assert sorted(tuple(r) for r in groups.where("id < 10000").collect()) == [("s", i, 0) for i in range(6000)]
 
 
