@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Two-letter code, three-letter codes and English name of languages a label may name.
@@ -22,9 +22,9 @@ ta tam Tamil; te tel Telugu; ml mal Malayalam; mr mar Marathi; gu guj Gujarati;
 CODES = {word.lower(): entry.split()[0] for entry in NOTATIONS.replace("\n", " ").split(";") for word in entry.split()}
 
 WIDTHS, FILTERS, WINDOW, STRIDE = (2, 3, 4), 32, 96, 72
-#: Names and codes in brackets belong to the text around them.
+#: Names and codes in brackets belong to the text around them; what is longer than 80 characters is neither.
 _BRACKETS = re.compile(r"[(（\[【][^()（）\[\]【】]{0,80}[)）\]】]")
-_MARKUP = re.compile(r"<[^<>\n]{1,120}>|https?://\S+|&[a-z]{2,6};")
+_MARKUP = re.compile(r"<[^<>\n]+>|https?://\S+|&[a-z]{2,6};")
 _CUTS = re.compile(r"(?<=[.!?…])[\"'»”’)]*\s+|(?<=[。！？])\s*|[\n\r\v\f  ]+|\s+[/|—–•·]+\s+|\t+")
 _LETTER = re.compile(r"[^\W\d_]")
 _CJK = r"々-ヿ㐀-鿿"
@@ -130,26 +130,28 @@ class ByteNet:
         return p.argmax(1), p.max(1)
 
 
-def train(docs: DataFrame, sample: int = 6000, least: int = 6, steps: int = 1000, seed: int = 3) -> ByteNet | None:
-    """A network fitted to at most `sample` labelled documents (those with the least hash of their id).
+def train(docs: DataFrame, sample: int = 700, steps: int = 1000, few: int = 50, seed: int = 3) -> ByteNet | None:
+    """A network fitted to at most `sample` labelled documents of each language (those with the least hash of their id).
 
+    A label names one of some fifty languages (NOTATIONS), so the driver holds fifty times `sample` documents at most.
     Labels may be wrong: networks fitted to either half judge the other half, and the windows whose label they
-    contradict are left out of the final fit. Languages with fewer than `least` sampled documents aren't learnt. None without any.
+    contradict are left out of the final fit, with a language if nothing is left of it. Of a language with less than
+    `few` windows in a half, only those contradicted with 0.9 or more: that half can't tell the language well. None
+    without any.
     """
-    rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    rows = rows.where(F.lower(F.regexp_extract(F.trim("lang"), r"^([^-_ ]+)", 1)).isin(*CODES)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    count: dict[str, int] = {}
-    for r in rows:
-        count[code_of(r.lang)] = count.get(code_of(r.lang), 0) + 1
-    labels = sorted(c for c, n in count.items() if n >= least) or sorted(count)
+    first = F.lower(F.regexp_extract(F.trim("lang"), r"^([^-_ ]+)", 1))
+    known = F.create_map(*[F.lit(x) for pair in sorted(CODES.items()) for x in pair])
+    rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang", F.try_element_at(known, first).alias("code")).where("code is not null")
+    place = F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = sorted(rows.withColumn("place", place).where(F.col("place") <= sample).collect(), key=lambda r: (r.place, r.code, r.doc_id))
+    labels = sorted({r.code for r in rows})
     if not labels:
         return None
     texts, y = [], []
     for r in rows:
-        if code_of(r.lang) in labels:
-            for s in segments(r.text):
-                texts.append(s)
-                y.append(labels.index(code_of(r.lang)))
+        for s in segments(r.text):
+            texts.append(s)
+            y.append(labels.index(r.code))
     if not texts:
         return None
     x, owner = windows(texts, STRIDE // 2)
@@ -161,9 +163,12 @@ def train(docs: DataFrame, sample: int = 6000, least: int = 6, steps: int = 1000
             net = ByteNet(labels, seed)
             net.fit(x[own], target[own], steps // 2)
             s = net.scores(x[~own])
-            keep[~own] = s.argmax(1) == target[~own]
-    net = ByteNet(labels, seed)
-    net.fit(x[keep], target[keep], steps) if keep.any() else net.fit(x, target, steps)
+            seldom = np.bincount(target[own], minlength=len(labels))[target[~own]] < few
+            keep[~own] = (s.argmax(1) == target[~own]) | (seldom & (s.max(1) < np.log(0.9)))
+    keep = keep if keep.any() else ~keep
+    left, target = np.unique(target[keep], return_inverse=True)
+    net = ByteNet([labels[i] for i in left], seed)
+    net.fit(x[keep], target, steps)
     return net
 
 
@@ -196,7 +201,7 @@ def _read_documents(net: ByteNet, sure: float, few: int):
     return read
 
 
-def document_segments(docs: DataFrame, sample: int = 6000, sure: float = 0.8, few: int = 12) -> DataFrame:
+def document_segments(docs: DataFrame, sample: int = 700, sure: float = 0.8, few: int = 12) -> DataFrame:
     """(doc_id, lang, segment, text, lang_found, confidence): the language of every segment of every document.
 
     docs has doc_id, text and lang (a label in any notation). A segment is a sentence, line or run of one script;

@@ -36,24 +36,45 @@ def tau_for_entropy(tokens: dict[str, float], target: float) -> float:
     return _bisect(lambda tau: entropy(temperature_shares(tokens, tau)) <= target, 0.0, 1.0)
 
 
+def exponent_for(natural: float, share: float) -> float:
+    """The least exponent tau at which natural ** tau is no more than share; inf where none is."""
+    if natural <= 0 or share >= 1:
+        return 0.0
+    if share <= 0 or natural >= 1:
+        return math.inf
+    high = 1.0
+    while natural**high > share:
+        high *= 2
+    return _bisect(lambda tau: natural**tau <= share, 0.0, high, 200)
+
+
 def plan_shares(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, dict]:
     """For each source of targets (share, repetitions): tokens to take, whether its share is out of reach, and why.
 
-    The mix is as large as all tokens of its sources. A source takes its share of that, at most its tokens times
-    its repetitions. What the sources out of reach leave open goes to the others by temperature: in proportion to
-    tokens ** tau, tau the least (most even) exponent in 0..1 that breaks no repetition limit; where none does,
-    the limits hold and the mix gets smaller.
+    The mix is as large as all tokens of its sources. Each source has an exponent tau: its natural share (of the tokens)
+    to the power of tau is its weight. tau is bisected to meet the target share, but goes no lower than the repetition
+    limit allows (the exponent at which the weight is max_repeats times the natural share): a source whose limit stops
+    it before its target is out of reach. What such sources leave open goes to the others by one more exponent, the
+    same for all: in proportion to tokens ** tau, tau the least (most even) in 0..1 that breaks no repetition limit;
+    where none does, the limits hold and the mix gets smaller.
     """
     have = {s: int(tokens.get(s, 0)) for s in targets}
     total = sum(have.values())
     most = {s: have[s] * max(0, r) for s, (_, r) in targets.items()}
-    need = {s: q * total for s, (q, _) in targets.items()}
-    short = {s for s in targets if most[s] < need[s]}
-    take = {s: float(min(most[s], need[s])) for s in targets}
+    take, own, short = {}, {}, set()
+    for s, (q, r) in targets.items():
+        natural = have[s] / total if total else 0.0
+        wanted, limit = exponent_for(natural, q), exponent_for(natural, max(0, r) * natural)
+        own[s] = max(wanted, limit)
+        # Bisection ends within rounding; equal exponents are equal shares.
+        if wanted < limit - 1e-12 * max(1.0, abs(wanted)) or (natural == 0 and q > 0 and total > 0):
+            short.add(s)
+        take[s] = 0.0 if natural == 0 or math.isinf(own[s]) else total * natural ** own[s]
+        take[s] = min(take[s], float(most[s]))
     tau = 1.0
     left = total * sum(q for q, _ in targets.values()) - sum(take.values())
-    open_ = {s: float(have[s]) for s in targets if take[s] < most[s]}
-    if left > 1e-9 and open_:
+    open_ = {s: float(have[s]) for s in targets if take[s] < most[s] - 1e-6 and s not in short}
+    if left > 1e-6 and open_:
         fits = lambda t: all(take[s] + left * p <= most[s] + 1e-6 for s, p in temperature_shares(open_, t).items())
         tau = _bisect(fits, 0.0, 1.0)
         while left > 1e-6 and open_:  # beyond all limits: fill up, source by source
@@ -65,7 +86,7 @@ def plan_shares(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -
             open_ = {s: t for s, t in open_.items() if most[s] - take[s] > 1e-6}
             if sum(given.values()) < 1e-6:
                 break
-    return {s: {"tokens": have[s], "target_share": float(targets[s][0]), "max_repeats": int(targets[s][1]), "planned": int(take[s]), "out_of_reach": s in short, "tau": tau} for s in targets}
+    return {s: {"tokens": have[s], "target_share": float(targets[s][0]), "max_repeats": int(targets[s][1]), "planned": int(take[s] + 1e-6), "out_of_reach": s in short, "tau": own[s], "tau_rest": tau} for s in targets}
 
 
 def read_targets(targets: DataFrame, most: int = 10_000) -> dict[str, tuple[float, int]]:

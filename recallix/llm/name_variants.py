@@ -204,7 +204,7 @@ def common_given_names(df: DataFrame, listed: list[str], share: float = 0.35, mo
     """Given names the list lacks: words that stand first in persons' names about as often as the listed ones.
 
     What counts is with how many different last words: those with at least `share` times the median of the listed
-    names, 3 at least; `most` of them at most, the commonest. Spelling errors, short forms and surnames have far
+    names, 3 at least (more than `most` such words are an error). Spelling errors, short forms and surnames have far
     fewer.
     """
     person = F.lower(F.trim("entity_type")).isin(*PERSON_TYPES) & ~F.col("entity").contains(",")
@@ -215,14 +215,17 @@ def common_given_names(df: DataFrame, listed: list[str], share: float = 0.35, mo
     if not own:
         return []
     least = max(3.0, share * own[len(own) // 2])
-    return sorted(plain(r[0]) for r in tokens.where(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(most).collect())
+    more = tokens.where(F.col("count") >= least).select("token").limit(most + 1).collect()
+    if len(more) > most:
+        raise ValueError(f"more than {most} given names")
+    return sorted(plain(r[0]) for r in more)
 
 
 def name_variants(df: DataFrame, names: DataFrame, most: int = 400) -> DataFrame:
     """(id, group): the rows that name the same person or organisation, with the smallest id of their group.
 
     df has id (bigint), entity and entity_type; names has given and short_form (a bounded dictionary of given
-    names: at most 50,000 rows are read). Rows of other types than persons and organisations have no group.
+    names: more than 50,000 are an error). Rows of other types than persons and organisations have no group.
 
     A name is read into a surname and a given name (in full, by a listed short form, or as a likeness of one), or
     a firm's own word and its trade; case, accents, titles, order, legal forms and middle initials don't count.
@@ -236,7 +239,9 @@ def name_variants(df: DataFrame, names: DataFrame, most: int = 400) -> DataFrame
     Defined cases: null or empty entities and null ids have no group; a null type is read from the name; repeated
     rows come out as one; an empty table gives no rows; other columns play no part.
     """
-    known = [(r[0], r[1]) for r in names.select("given", "short_form").where("given is not null").distinct().limit(50_000).collect()]
+    known = [(r[0], r[1]) for r in names.select("given", "short_form").where("given is not null").distinct().limit(50_001).collect()]
+    if len(known) > 50_000:
+        raise ValueError("more than 50,000 given names")
 
     more = common_given_names(df, [g for g, _ in known])
 

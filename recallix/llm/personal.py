@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import datetime
 import hashlib
 import hmac
 import json
@@ -42,19 +44,45 @@ def permute(value: int, size: int, key: bytes, tweak: bytes = b"", back: bool =
             return value
 
 
+def _permute_digits(digits: str, key: bytes, tweak: bytes, back: bool) -> str:
+    """Digits of the same number; a first digit other than 0 stays other than 0."""
+    n, low = len(digits), 10 ** (len(digits) - 1) if digits[:1] not in ("", "0") else 0
+    size = 10**n - low if low else 10 ** (n - 1)
+    return str(low + permute(int(digits) - low, size, key, tweak + (b"" if low else b"/0"), back)).zfill(n) if n > 1 else str(permute(int(digits), 10, key, tweak, back)) if n else ""
+
+
+#: Country codes of one and of two digits; all others have three.
+COUNTRY_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
+
+def _phone_parts(text: str, digits: str) -> tuple[int, int]:
+    """How many digits come before the national number (country code or trunk zero), and how many belong to it."""
+    own = sum(c in "0123456789" for c in re.split(r"(?i)x|ext", text)[0])
+    code = 2 if digits.startswith("00") else 0
+    if code or text.lstrip().startswith("+"):
+        rest = digits[code:]
+        return code + next((n for n in (1, 2) if rest[:n] in COUNTRY_CODES), 3), own
+    return int(digits.startswith("0")), own
+
+
 def pseudonym(text: str, key: bytes, kind: str, back: bool = False) -> str:
     """The text with its digits and its letters permuted within their format; all else stays.
 
     All digits are one number, all letters (but the mark of a phone's extension) one more, whatever their case, so
-    equal values, in equal or other spacing, get equal digits wherever they occur. back undoes it.
+    equal values, in equal or other spacing, get equal digits wherever they occur. A phone keeps its country code or
+    trunk zero, so `+49 30 1234567` and `030 1234567` stay linked; its extension is permuted by itself. back undoes it.
     """
-    digits = [i for i, c in enumerate(text) if c in "0123456789"]
+    at = [i for i, c in enumerate(text) if c in "0123456789"]
     letters = [i for i, c in enumerate(text) if c.isascii() and c.isalpha()] if kind != "phone" else []
     out = list(text)
-    if digits:
-        n = permute(int("".join(text[i] for i in digits)), 10 ** len(digits), key, kind.encode(), back)
-        for i, c in zip(digits, str(n).zfill(len(digits))):
-            out[i] = c
+    digits = "".join(text[i] for i in at)
+    if kind == "phone":
+        a, z = _phone_parts(text, digits)
+        new = digits[:a] + _permute_digits(digits[a:z], key, b"phone", back) + _permute_digits(digits[z:], key, b"phone/extension", back)
+    else:
+        new = f"{permute(int(digits), 10 ** len(digits), key, kind.encode(), back):0{len(digits)}d}" if digits else ""
+    for i, c in zip(at, new):
+        out[i] = c
     if letters:
         value = 0
         for i in letters:
@@ -67,13 +95,47 @@ def pseudonym(text: str, key: bytes, kind: str, back: bool = False) -> str:
 
 
 def pseudonym_date(year: int, month: int, day: int, key: bytes, back: bool = False) -> tuple[int, int, int]:
-    """Another valid date of 1900 to 2099, permuted by its day number."""
-    first = pd.Timestamp(1900, 1, 1)
-    size = (pd.Timestamp(2100, 1, 1) - first).days
-    at = first + pd.Timedelta(days=permute((pd.Timestamp(year, month, day) - first).days, size, key, b"date", back))
+    """Another valid date, permuted by its day number: dates of 1900 to 2099 among themselves, all others of 1 to 9999."""
+    first, end = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()
+    n, size = datetime.date(year, month, day).toordinal(), datetime.date.max.toordinal() - (end - first)
+    if first <= n < end:
+        n = first + permute(n - first, end - first, key, b"date", back)
+    else:
+        n = permute(n - 1 if n < first else n - 1 - (end - first), size, key, b"date/far", back) + 1
+        n = n if n < first else n + end - first
+    at = datetime.date.fromordinal(n)
     return at.year, at.month, at.day
 
 
+MONTHS = "January February March April May June July August September October November December".split()
+_MONTH = "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") for m in MONTHS)
+#: Notations of a date: its pattern, and the groups of year, month and day.
+DATES = [(r"(\d{4})-(\d{1,2})-(\d{1,2})", (1, 2, 3)), (r"(\d{1,2})([./-])(\d{1,2})\2(\d{4})", (4, 3, 1)), (rf"(\d{{1,2}})(?:st|nd|rd|th)? (?:of )?({_MONTH})\.?,? (\d{{4}})", (3, 2, 1)), (rf"({_MONTH})\.? (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})", (3, 1, 2))]
+
+
+def pseudonym_of_date(text: str, key: bytes, back: bool = False) -> str | None:
+    """The text of a date in any notation with another date in the same one; None if there is no such date.
+
+    All-numeric dates are day first where that makes a date, else month first.
+    """
+    for pattern, groups in DATES:
+        if m := re.fullmatch(pattern, text, re.I):
+            orders = [groups, (groups[0], groups[2], groups[1])] if len(m.groups()) == 4 else [groups]
+            for y, mo, d in orders:
+                month = int(m[mo]) if m[mo].isdigit() else next(i for i, n in enumerate(MONTHS, 1) if n[:3].lower() == m[mo][:3].lower())
+                try:
+                    new = pseudonym_date(int(m[y]), month, int(m[d]), key, back)
+                except ValueError:
+                    continue
+                wide = 2 if m[mo].isdigit() else 1
+                shown = {y: f"{new[0]:04d}", mo: f"{new[1]:0{wide}d}" if m[mo].isdigit() else MONTHS[new[1] - 1][: 3 if len(m[mo]) == 3 and month != 5 else None], d: f"{new[2]:0{wide}d}"}
+                out = text
+                for g in sorted((y, mo, d), key=m.start, reverse=True):
+                    out = out[: m.start(g)] + shown[g] + out[m.end(g) :]
+                return out
+    return None
+
+
 # --- where it is -------------------------------------------------------------------------------------------
 
 _A, _Z = r"(?<![\w@/.+-])", r"(?![\w/@]|[.-]\d)"
@@ -106,13 +168,13 @@ ADDRESS = re.compile(
     r"|(?<!\w)[^\W\d_][\w-]+(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|straat|laan|gracht|plein|kade) \d{1,5} ?[a-z]?(?!\w)",
     re.I,
 )
-_BIRTH = re.compile(r"(?:born(?: on)?|birth(?:day| ?date)?|dob|date of birth)\W{1,3}(?:is |was )?((\d{4})-(\d\d)-(\d\d))(?!\d)", re.I)
+_BIRTH = re.compile(r"(?<!\w)(?:born(?: on)?|birth(?:day| ?date)?|dob|date of birth)\W{1,3}(?:is |was |on )?(" + "|".join(re.sub(r"\((?!\?)", "(?:", p).replace(r"\2", "[./-]") for p, _ in DATES) + r")(?!\w)", re.I)
 _TITLED = re.compile(rf"(?<!\w)(?:dr|prof|professor|doctor|mr|mrs|ms|miss|frau|herr|mme|madame|monsieur|sra?|signora?|señora?|dame|sir|lady|lord)\b\.?(?: (?:dr|prof)\b\.?)?\s+((?:[a-z]\. ?)*{_NAME}(?: {_NAME})?)", re.I)
 _INITIAL = re.compile(r"(?<![\w.])(?:[A-Z]\. ?){1,3}([A-Z][\w'’-]{4,})(?!\w)")
 _SMALL_INITIAL = re.compile(r"(?:\b(?:ask|met|from|by|per|with|doctor is|regards,?)|[|;\-*(])\s+((?:[a-z]\. ?){1,2}([^\W\d_][\w'’-]{4,}))(?!\w)", re.I)
 _CUED = re.compile(r"(?:\b[Aa]sk|\b[Mm]et|\b[Rr]egards,|\b[Ss]incerely,|\b[Dd]ear|\b[Cc]ontact|doctor is|came from|\b[Aa]s per)\s+([A-Z][\w’']{2,} (?:[A-Z]\. )?([A-Z][\w’'-]{3,}))(?!\w)")
 _SIGNED = re.compile(r"(?<![\w.])([A-Z][\w’']{2,} (?:[A-Z]\. )?([A-Z][\w’'-]{3,}))(?= (?:has |have )?(?:signed|wrote|called|replied|phoned)\b)")
-_AFTER = re.compile(r"(?:-|\s+(?:[^\W\d_]\.\s*){0,2}|\s*\n\s*)([^\W\d_][\w'’-]{2,})")
+_AFTER = re.compile(r"(?:-|\s+(?:[^\W\d_]\.\s*){0,2}|\s*\n\s*)([^\W\d_][\w'’-]+)")
 _BEFORE = re.compile(r"([^\W\d_][\w'’-]{3,}),\s*$")
 _NEXT = re.compile(r"\s+([^\W\d_][\w'’-]*)")
 #: Words that go with firms, streets and offices, so that the name before them isn't a person's.
@@ -156,10 +218,14 @@ class Finder:
 
         def take(spans: Iterator[tuple[int, int]], kind: str) -> None:
             nonlocal text
+            parts, last = [], 0
             for a, z in spans:
-                if z > a and "\0" not in text[a:z]:
+                if z > a and a >= last and "\0" not in text[a:z]:
                     out.append((a, z, kind))
-                    text = text[:a] + "\0" * (z - a) + text[z:]
+                    parts += [text[last:a], "\0" * (z - a)]
+                    last = z
+            if parts:
+                text = "".join([*parts, text[last:]])
 
         if "@" in text or re.search(r"\b(?:at|dot)\b", text, re.I):
             take((m.span() for m in EMAIL.finditer(text)), "email")
@@ -206,37 +272,36 @@ class Finder:
     @staticmethod
     def _surname(given: str, word: str, text: str, end: int) -> bool:
         w = word.lower().removesuffix("'s").removesuffix("’s")
-        if w in COMMON or w in ORGANISED or len(w) < 4:
+        if w in COMMON or w in ORGANISED or len(w) < (4 if given.islower() or given.isupper() else 2):
             return False
         if given[0].isupper() and word[0].islower() or given[0].islower() and not word.islower():
             return False
         n = _NEXT.match(text, end)
         return not (n and n[1].lower() in ORGANISED)
 
-    def redact(self, text: str, key: bytes) -> str:
-        """The text with placeholders: numbers and birth dates permuted within their format, the rest by a keyed tag."""
+    def redact(self, text: str, key: bytes) -> tuple[str, list[str]]:
+        """The text with placeholders and their types: numbers and birth dates permuted within their format, the rest by a keyed tag."""
         out, last = [], 0
         spans = self.find(text)
-        covered = [s for s in spans]
-        for m in _BIRTH.finditer(text):
-            if not any(a < m.end(1) and m.start(1) < z for a, z, _ in covered):
-                spans.append((m.start(1), m.end(1), "date"))
+        dates = [m.span(1) for m in _BIRTH.finditer(text)]
+        ends = sorted(spans)
+        for a, z in dates:
+            i = bisect.bisect_left(ends, (z,))
+            if not i or ends[i - 1][1] <= a:
+                spans.append((a, z, "date"))
         for a, z, kind in sorted(spans):
             value = text[a:z]
             if kind in ("phone", "id_number"):
                 shown = pseudonym(value, key, kind)
             elif kind == "date":
-                try:
-                    shown = "%04d-%02d-%02d" % pseudonym_date(*map(int, value.split("-")), key)
-                except ValueError:
-                    shown = "0000-00-00"
+                shown = pseudonym_of_date(value, key) or re.sub(r"\w", "0", value)
             else:
                 plain = re.sub(r"\W+", " ", re.sub(r"\s*[\[({<]?\s*\b(?:at|dot)\b\s*[\])}>]?\s*", " ", _lowered(value)) if kind == "email" else _lowered(value)).strip()
                 plain = " ".join(sorted(plain.split())) if kind == "name" else plain
-                shown = hmac.new(key, f"{kind}|{plain}".encode(), hashlib.sha256).hexdigest()[:8]
+                shown = hmac.new(key, f"{kind}|{plain}".encode(), hashlib.sha256).hexdigest()[:32]
             out += [text[last:a], f"[{kind.upper()}:{shown}]"]
             last = z
-        return "".join([*out, text[last:]])
+        return "".join([*out, text[last:]]), sorted({k for _, _, k in spans})
 
 
 _CONTENT = re.compile(r'"content"\s*:\s*"((?:[^"\\]|\\.)*)')
@@ -267,49 +332,48 @@ def _rows(texts: Iterator[tuple]) -> Iterator[tuple[str, int, str, int, str]]:
                 yield src, row_id, field, pos, part
 
 
-def find_personal(texts: DataFrame, names: list[str]) -> DataFrame:
-    """(src, row_id, field, pos, pii_type): each type of personal information in each text, once.
+def redact_personal(texts: DataFrame, names: list[str], key: bytes) -> DataFrame:
+    """(src, row_id, field, pos, text, kinds): the texts with typed placeholders, and the types of these.
 
     texts has src, row_id, field and text; where field is `messages`, text is a JSON array of messages and each
     content is a text of its own (pos is its place, else 0). names are given names with short forms, at most some
-    100,000. Types: email, phone, id_number, address, name.
+    100,000.
 
+    Format-preserving Feistel pseudonyms: numbers that have a known format (or a word before them that says what they
+    are) and birth dates in any notation are permuted within their format by `key`, other values get a keyed tag of 128
+    bits, so equal values stay linked across documents and nobody without the key can tell what they were.
     Numbers are found by their format or by what is said before them, streets by their type and house number,
     persons by a given name, title or initial together with a surname; e-mail addresses, also disguised ones, and
     streets are taken out before persons are looked for. The whole text is read.
 
     Defined cases: null and empty texts and arrays that aren't JSON have no rows; of an array that is cut off,
-    the contents that are there count; repeated rows come out once for each; other columns play no part.
+    the contents that are there count; repeated rows come out once for each; a text without personal information comes
+    out as it is; an empty key is an error; other columns play no part.
     """
-    schema = "src string, row_id bigint, field string, pos bigint, pii_type string"
+    if not key:
+        raise ValueError("pseudonyms need a key")
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(names)
         for b in batches:
-            rows = [(*head, kind) for *head, part in _rows(zip(b["src"], b["row_id"], b["field"], b["text"])) for kind in {k for _, _, k in finder.find(part)}]
-            yield pd.DataFrame(rows, columns=["src", "row_id", "field", "pos", "pii_type"])
+            rows = [(*head, *finder.redact(part, key)) for *head, part in _rows(zip(b["src"], b["row_id"], b["field"], b["text"]))]
+            yield pd.DataFrame(rows, columns=["src", "row_id", "field", "pos", "text", "kinds"])
 
-    return texts.select("src", "row_id", "field", "text").where("text is not null and text <> ''").mapInPandas(find, schema)
+    return texts.select("src", "row_id", "field", "text").where("text is not null and text <> ''").mapInPandas(redact, "src string, row_id bigint, field string, pos bigint, text string, kinds array<string>")
 
 
-def redact_personal(texts: DataFrame, names: list[str], key: bytes) -> DataFrame:
-    """(src, row_id, field, pos, text): the texts with typed placeholders in place of personal information.
+def find_personal(texts: DataFrame, names: list[str], key: bytes) -> DataFrame:
+    """(src, row_id, field, pos, pii_type): each type of placeholder that redact_personal puts into each text, once.
 
-    Format-preserving Feistel pseudonyms: numbers (and birth dates) are permuted within their format by `key`,
-    other values get a keyed tag, so equal values stay linked across documents and nobody without the key can
-    tell what they were. Cases as in find_personal; a text without personal information comes out as it is.
+    Types: email, phone, id_number, address, name. Cases as in redact_personal.
     """
-
-    def redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(names)
-        for b in batches:
-            rows = [(*head, finder.redact(part, key)) for *head, part in _rows(zip(b["src"], b["row_id"], b["field"], b["text"]))]
-            yield pd.DataFrame(rows, columns=["src", "row_id", "field", "pos", "text"])
-
-    return texts.select("src", "row_id", "field", "text").where("text is not null and text <> ''").mapInPandas(redact, "src string, row_id bigint, field string, pos bigint, text string")
+    found = redact_personal(texts, names, key)
+    return found.select("src", "row_id", "field", "pos", F.explode("kinds").alias("pii_type")).where("pii_type <> 'date'")
 
 
 def given_names(names: DataFrame, most: int = 50_000) -> list[str]:
-    """Given names and short forms of a bounded dictionary table."""
-    rows = names.select(F.explode(F.array("given", "short_form")).alias("n")).where("n is not null and n <> ''").distinct().limit(most).collect()
+    """Given names and short forms of a dictionary table, which must have at most `most`."""
+    rows = names.select(F.explode(F.array("given", "short_form")).alias("n")).where("n is not null and n <> ''").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} given names")
     return sorted(r[0] for r in rows)

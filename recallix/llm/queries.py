@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,8 @@ from recallix.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-#: The key of the pseudonyms where PSEUDONYM_KEY isn't set, for tests; give a secret of your own.
-KEY = os.environ.get("PSEUDONYM_KEY", "recallix").encode()
+#: The key of the pseudonyms. Where PSEUDONYM_KEY isn't set it is drawn anew, so pseudonyms of two runs can't be linked.
+KEY = os.environ.get("PSEUDONYM_KEY", "").encode() or secrets.token_bytes(32)
 
 
 def _personal_texts(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
@@ -36,12 +37,12 @@ def _personal_texts(spark: SparkSession, folder: str) -> tuple[DataFrame, list[s
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Types of personal information in the texts of knowledge_items and episodes."""
-    return find_personal(*_personal_texts(spark, folder)).distinct()
+    return find_personal(*_personal_texts(spark, folder), KEY).distinct()
 
 
 def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """The texts of knowledge_items and episodes with typed placeholders."""
-    return redact_personal(*_personal_texts(spark, folder), KEY)
+    return redact_personal(*_personal_texts(spark, folder), KEY).drop("kinds")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,22 +93,25 @@ def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(back, "doc_id").agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("text") == F.col("back"), 1)).alias("equal"))
 
 
-def _mix_plan(spark: SparkSession, folder: str) -> dict[str, dict]:
+def _mix_plan(spark: SparkSession, folder: str, sized: DataFrame | None = None) -> dict[str, dict]:
     targets = mixing.read_targets(table(spark, folder, "mix_targets"))
-    sized = tokenizer.token_counts(table(spark, folder, "documents").where(F.col("source").isin(*targets)), ["source"], "text")
-    return mixing.plan_shares({r.source: r.tokens for r in sized.collect()}, targets)  # a row for each source of the targets
+    if sized is None:
+        docs = table(spark, folder, "documents").where(F.col("source").isin(*targets))
+        sized = tokenizer.token_counts(docs, ["source"], "text")
+    sums = sized.where(F.col("source").isin(*targets)).groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    return mixing.plan_shares({r.source: r.tokens for r in sums.collect()}, targets)  # a row for each source of the targets
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources of mix_targets whose share is out of reach."""
+    """Sources of mix_targets whose exponent is stopped by the repetition limit before their share."""
     return spark.createDataFrame([(s,) for s, p in sorted(_mix_plan(spark, folder).items()) if p["out_of_reach"]], "source string")
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, dict]]:
     docs = table(spark, folder, "documents").where("source is not null")
-    sized = tokenizer.encode(docs, ["doc_id", "source"], "text").select("doc_id", "source", F.size("ids").alias("tokens"))
-    plan = _mix_plan(spark, folder)
-    return mixing.mix(checkpoint(sized.where(F.col("source").isin(*plan))), plan, "doc_id", "source", "tokens"), plan
+    sized = checkpoint(tokenizer.encode(docs, ["doc_id", "source"], "text").select("doc_id", "source", F.size("ids").alias("tokens")))
+    plan = _mix_plan(spark, folder, sized)
+    return mixing.mix(sized.where(F.col("source").isin(*plan)), plan, "doc_id", "source", "tokens"), plan
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:

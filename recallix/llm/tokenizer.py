@@ -80,8 +80,11 @@ def encode_words(words: DataFrame, folder: str | None = None, vocabulary: str =
     """(word, ids) of distinct words, checkpointed.
 
     The rank map is a literal of the plan, some megabytes long; while the fold runs, plans are kept from being
-    written out in full by each of their many readers (event log, UI, AQE).
+    written out in full by each of their many readers (event log, UI, AQE). Words are few bytes and much work, so
+    they are dealt to a given number of tasks: AQE would make them one or two.
     """
+    tasks = max(2 * words.sparkSession.sparkContext.defaultParallelism, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    words = words.repartition(tasks, "word")
     ranks = load_ranks(folder, vocabulary)
     coded = words.select("word", F.decode(F.encode("word", "UTF-8"), "ISO-8859-1").alias("__b")).withColumn("__long", F.length("__b") > LONG)
     pieces = coded.where("not __long").select("word", "__b", _rank_map(ranks).alias("__ranks")).select("word", F.expr(_fold()).alias("p"))

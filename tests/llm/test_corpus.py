@@ -1,5 +1,6 @@
 """Tokenizer, mixing and languages: exact equality, limits kept, held-out accuracy."""
 
+import math
 import random
 
 import pytest
@@ -43,6 +44,14 @@ def test_plan():
     assert all(p["planned"] <= have.get(s, 0) * targets[s][1] for s, p in plan.items())
     assert plan["tiny"]["planned"] == 20 and sum(p["planned"] for p in plan.values()) >= 1300
     assert M.plan_shares({}, targets)["big"]["planned"] == 0 and M.plan_shares(have, {}) == {}
+    assert plan["mid"]["tau"] == pytest.approx(math.log(0.5) / math.log(300 / 1310)) and plan["tiny"]["tau"] == pytest.approx(math.log(20 / 1310) / math.log(10 / 1310))
+    exact = M.plan_shares({"a": 500, "b": 500}, {"a": (0.5, 1), "b": (0.5, 1)})  # just reached
+    assert not any(p["out_of_reach"] for p in exact.values()) and exact["a"]["planned"] == 500
+    rng = random.Random(3)
+    for _ in range(200):
+        have2 = {s: rng.randrange(0, 1000) for s in "abcd"}
+        goal = {s: (rng.random() / 2, rng.randrange(0, 4)) for s in "abcd"}
+        assert {s for s, p in M.plan_shares(have2, goal).items() if p["out_of_reach"]} == {s for s in "abcd" if goal[s][1] * have2[s] < goal[s][0] * sum(have2.values())}
     even, natural = M.temperature_shares(have, 0), M.temperature_shares(have, 1)
     assert even["tiny"] == pytest.approx(1 / 3) and natural["big"] == pytest.approx(1000 / 1310)
     tau = M.tau_for_entropy(have, 0.9)
@@ -78,6 +87,14 @@ def test_segments():
     assert x.shape[1] == 96 and set(owner) == {0, 1} and (owner == 0).sum() * 72 >= 500 - 96
 
 
+def test_rare_language(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text", "lang")
+    polish = ["Stary kapitan chowa małą lampę w kuchni każdego wieczoru.", "Dzieci śpiewały piosenkę przy rzece, gdy padał deszcz.", "Nauczycielka maluje zielone drzwi za kościołem.", "Wczoraj kupiłem świeży chleb i masło na targu.", "Mój brat pracuje w szpitalu od trzech lat.", "Proszę zamknąć okno, bo jest bardzo zimno.", "Pociąg do Krakowa odjeżdża o szóstej rano.", "Nie wiem, gdzie zostawiłem swoje klucze."]
+    own = spark.createDataFrame([(10**6 + i, t, "pl") for i, t in enumerate(polish)] + [(10**6 + 100, "Żółta łódka płynie powoli przez spokojne jezioro, a ptaki śpiewają.", None)], "doc_id bigint, text string, lang string")
+    found = {(r.doc_id, r.lang_found) for r in document_segments(docs.unionByName(own)).where("doc_id >= 1000000").collect()}
+    assert (10**6 + 100, "pl") in found and sum((10**6 + i, "pl") in found for i in range(8)) >= 5  # from eight sentences
+
+
 def test_languages(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet")
     net = train(docs.where("doc_id % 2 = 0"))

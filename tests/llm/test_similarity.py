@@ -210,6 +210,15 @@ def test_common_surname(spark):
     assert all(got.get(i) == i and got.get(1000 + i) == i for i in range(450)) and got[5001] == 5000
 
 
+def test_one_long_ending(spark):
+    # Some thousand surnames of one ending, one letter put in early, all with one given name: one large block.
+    rng = random.Random(7)
+    stems = sorted({"".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(2000)})[:1500]
+    rows = [(2 * i, f"Isabella {s}bergerhausen".title(), "person") for i, s in enumerate(stems)] + [(2 * i + 1, f"Isabella {s[:2]}x{s[2:]}bergerhausen".title(), "person") for i, s in enumerate(stems)]
+    got = {r.id: r.group for r in name_variants(spark.createDataFrame(rows, "id bigint, entity string, entity_type string"), spark.createDataFrame(GIVEN, "given string, short_form string")).collect()}
+    assert all(2 * i in got and got[2 * i] == got.get(2 * i + 1) for i in range(len(stems)))
+
+
 def test_short_surnames(spark):
     pairs = [("Wolf", "Wolff"), ("Smith", "Smithe"), ("Miller", "Muller"), ("Hartmann", "Hardmann"), ("Tokhekafalbus", "Tokrekafilbus")]
     rows = [(10 * i + j, f"Isabella {x}", "person") for i, p in enumerate(pairs) for j, x in enumerate(p)]
