@@ -10,7 +10,7 @@ from recallix.operators.hot import hot_bounds, join_keys, shard_of, with_cuts
 #: Spellings of a deletion, lower-cased.
 DELETION = r"^(del|deletes?|deleted|deletion|remove[ds]?|removal|removed|drop|dropped|erased?|purged?|tombstone)$"
 
-#: Bits of a word of the presence bitmaps, and words of a chunk.
+#: Bits of a word of the presence bitmaps (at most), and words of a chunk.
 WORD, CHUNK = 64, 1024
 
 
@@ -23,7 +23,7 @@ def _fold(runs: DataFrame, within: list[str]) -> DataFrame:
     return numbered.groupBy(*within, "__run").agg(F.min("__a").alias("__first"), F.max("__z").alias("__last"), at(F.min_by, "__from", "__a", "__from"), at(F.min_by, "__version", "__a", "__version"), at(F.max_by, "__until", "__z", "__until")).drop("__run").withColumnsRenamed({"__first": "__a", "__last": "__z"})
 
 
-def state_history(df: DataFrame, key: str, time: str, version: str, row_id: str, state: list[str], deleted: Column, base: int = 50_000) -> DataFrame:
+def state_history(df: DataFrame, key: str, time: str, version: str, row_id: str, state: list[str], deleted: Column, base: int = 50_000, word: int = WORD, chunk: int = CHUNK) -> DataFrame:
     """For each key the states with version, valid_from_ms and valid_until_ms (-1: it still holds).
 
     time is in epoch seconds; of rows with one key and time the highest version counts, then the highest row id.
@@ -31,9 +31,9 @@ def state_history(df: DataFrame, key: str, time: str, version: str, row_id: str,
     without deletion between are one, with the version of its first row. Null equals null in a state.
 
     Presence bitmaps: the distinct times of a key are its snapshots, numbered in order; for each hash of key and
-    state one bit is set for each snapshot that shows it, in words of 64 (bit_or, aggregated before the shuffle).
+    state one bit is set for each snapshot that shows it, in words of `word` bits, 64 at most (bit_or, aggregated before the shuffle).
     Runs of set bits are the validity intervals; a deletion or another state leaves a hole. Runs that touch a
-    word's edge are joined within chunks of 1024 words, then those at a chunk's edge. Keys with more than about
+    word's edge are joined within chunks of `chunk` words, then those at a chunk's edge. Keys with more than about
     `base` snapshots are numbered in time shards with the counts of the shards before as offsets.
 
     Defined cases: rows without key or time are left out; a null version counts as lowest and comes out as null;
@@ -55,20 +55,20 @@ def state_history(df: DataFrame, key: str, time: str, version: str, row_id: str,
         shards = shards.select("__k", "__shard", F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.lead("__first").over(order).alias("__next"))
         seen = join_keys(seen, shards, ["__k", "__shard"], "left", small=True)  # at most `limit` keys with `most` shards each
         seen = seen.select("__k", "__row", "__from", (F.col("__i") + F.coalesce("__before", F.lit(0))).alias("__i"), F.coalesce("__until", "__next").alias("__until"))
-    held = seen.where(~F.col("__row.d")).select("__k", F.col("__row.h").alias("__h"), F.expr(f"__i div {WORD}").alias("__word"), (F.col("__i") % WORD).cast("int").alias("__bit"), "__from", F.coalesce("__until", F.lit(-1)).alias("__until"), F.col("__row.v").alias("__version"))
+    held = seen.where(~F.col("__row.d")).select("__k", F.col("__row.h").alias("__h"), F.expr(f"__i div {word}").alias("__word"), (F.col("__i") % word).cast("int").alias("__bit"), "__from", F.coalesce("__until", F.lit(-1)).alias("__until"), F.col("__row.v").alias("__version"))
     words = held.groupBy("__k", "__h", "__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__mask"), F.map_from_entries(F.collect_list(F.struct("__bit", F.struct(F.col("__from").alias("f"), F.col("__until").alias("u"), F.col("__version").alias("v"))))).alias("__at"))
     bits = F.expr("""filter(sequence(0, 63), b -> getbit(__mask, b) = 1 and (b = 0 or getbit(__mask, b - 1) = 0))""")
-    ends = F.expr("""filter(sequence(0, 63), b -> getbit(__mask, b) = 1 and (b = 63 or getbit(__mask, b + 1) = 0))""")
+    ends = F.expr(f"""filter(sequence(0, 63), b -> getbit(__mask, b) = 1 and (b = {word - 1} or getbit(__mask, b + 1) = 0))""")
     runs = words.select("__k", "__h", "__word", "__at", F.explode(F.arrays_zip(bits.alias("a"), ends.alias("z"))).alias("__r"))
-    runs = runs.select("__k", "__h", (F.col("__word") * WORD + F.col("__r.a")).alias("__a"), (F.col("__word") * WORD + F.col("__r.z")).alias("__z"), F.expr("__at[__r.a].f").alias("__from"), F.expr("__at[__r.a].v").alias("__version"), F.expr("__at[__r.z].u").alias("__until"))
+    runs = runs.select("__k", "__h", (F.col("__word") * word + F.col("__r.a")).alias("__a"), (F.col("__word") * word + F.col("__r.z")).alias("__z"), F.expr("__at[__r.a].f").alias("__from"), F.expr("__at[__r.a].v").alias("__version"), F.expr("__at[__r.z].u").alias("__until"))
 
     def at_edge(size: int) -> Column:
         return ((F.col("__a") % size == 0) & (F.col("__a") > 0)) | (F.col("__z") % size == size - 1)
 
-    width = WORD * CHUNK
-    edge = _fold(runs.where(at_edge(WORD)).withColumn("__chunk", F.expr(f"__a div {width}")), ["__k", "__h", "__chunk"]).drop("__chunk")
+    width = word * chunk
+    edge = _fold(runs.where(at_edge(word)).withColumn("__chunk", F.expr(f"__a div {width}")), ["__k", "__h", "__chunk"]).drop("__chunk")
     far = _fold(edge.where(at_edge(width)), ["__k", "__h"])
-    out = runs.where(~at_edge(WORD)).unionByName(edge.where(~at_edge(width))).unionByName(far)
+    out = runs.where(~at_edge(word)).unionByName(edge.where(~at_edge(width))).unionByName(far)
     return out.select(F.col("__k").alias(key), F.col("__version").alias(version if version != key else "version_"), F.col("__from").alias("valid_from_ms"), F.col("__until").alias("valid_until_ms"))
 
 

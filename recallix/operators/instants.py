@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zoneinfo
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,13 +75,13 @@ def local_to_utc(local: Column, zone: Column) -> Column:
     return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone))
 
 
-def estimate_zones(parsed: DataFrame, source: str, seq: str, candidates: list[str], stream: str | None = None, per_bucket: int = 8, tolerance_h: float = 24.0) -> DataFrame:
-    """For each source the offset history (zone) with the fewest violations of the order of arrival.
+def violations(parsed: DataFrame, source: str, seq: str, candidates: list[str], stream: str | None = None, per_bucket: int = 8, tolerance_h: float = 24.0) -> DataFrame:
+    """(source, n, rated): for each source how far each candidate's offset history is from the order of arrival.
 
-    parsed comes from `parse`. Rows (of one stream, if they come in several) arrive in the order of seq, so the median instant of a bucket of about
-    `per_bucket` neighbouring rows tells when its rows were made. A candidate's violation at a local time is how
-    far the converted time is from the median, at most `tolerance_h` hours (late rows weigh no more than that).
-    Returns source, zone, n, violation_h (mean, of the best), and margin_h (how much worse the next one is).
+    parsed comes from `parse`. Rows (of one stream, if they come in several) arrive in the order of seq, so the median
+    instant of a bucket of about `per_bucket` neighbouring rows tells when its rows were made. A candidate's violation
+    at a local time is how far the converted time is from the median, at most `tolerance_h` hours (late rows weigh no
+    more than that). rated has (v: mean violation in microseconds, i: the candidate's number, zone), the least first.
     The candidates are zones with their whole offset history, so changes to summer time count.
     """
     size = F.lit(per_bucket)
@@ -90,34 +92,50 @@ def estimate_zones(parsed: DataFrame, source: str, seq: str, candidates: list[st
     loss = [F.avg(F.least(F.lit(most), F.abs(local_to_utc(F.col("__local"), F.lit(z)) - F.col("__m")))).alias(f"z{i}") for i, z in enumerate(candidates)]
     rated = local.groupBy("__source").agg(F.count(F.lit(1)).alias("n"), *loss)
     order = F.array_sort(F.array(*[F.struct(F.col(f"z{i}").alias("v"), F.lit(i).alias("i"), F.lit(z).alias("zone")) for i, z in enumerate(candidates)]))
+    return rated.select(F.col("__source").alias("source"), "n", order.alias("rated"))
+
+
+def estimate_zones(parsed: DataFrame, source: str, seq: str, candidates: list[str], stream: str | None = None, per_bucket: int = 8, tolerance_h: float = 24.0) -> DataFrame:
+    """(source, zone, n, violation_h, margin_h): the zone with the fewest violations, and how much worse the next one is."""
     hours = lambda c: F.round(c / 3.6e9, 4)
-    return rated.select(F.col("__source").alias("source"), F.get(order, F.lit(0))["zone"].alias("zone"), "n", hours(F.get(order, F.lit(0))["v"]).alias("violation_h"), hours(F.get(order, F.lit(1))["v"] - F.get(order, F.lit(0))["v"]).alias("margin_h"))
+    best, next_ = F.get("rated", F.lit(0)), F.get("rated", F.lit(1))
+    return violations(parsed, source, seq, candidates, stream, per_bucket, tolerance_h).select("source", best["zone"].alias("zone"), "n", hours(best["v"]).alias("violation_h"), hours(next_["v"] - best["v"]).alias("margin_h"))
+
+
+def java_zone(name: Column) -> Column:
+    """Whether a text has the form of a zone of the IANA list that is sure to be known."""
+    return name.isin(sorted(n for n in zoneinfo.available_timezones() if "/" in n or n in ("UTC", "GMT")))
 
 
-def to_instants(df: DataFrame, text: str, source: str, seq: str, profiles: DataFrame, stream: str | None = None, unknown: str | None = "UTC", estimate: bool = True, per_bucket: int = 8, least_margin_h: float = 0.25, least_rows: int = 200) -> DataFrame:
+def to_instants(df: DataFrame, text: str, source: str, seq: str, profiles: DataFrame, stream: str | None = None, unknown: str | None = "UTC", guess_undeclared: bool = True, per_bucket: int = 8, margin_h: float = 0.25) -> DataFrame:
     """df with `utc_us`: the instant of each row's text, null where it names none.
 
-    profiles has source, zone_name and date_order. Text without a zone is local time: of the zone its source
-    declares; else of the zone estimated from the order of arrival (see estimate_zones), if at least `least_rows`
-    rows support it by `least_margin_h` (and the noise of so few, 12 / sqrt(n) hours) over the next one; else of
-    `unknown`. Where a statement fixes the zone of
-    undeclared sources, give it as `unknown` with estimate=False: then the estimate can't override it.
+    profiles has source, zone_name and date_order. Text without a zone is local time in the zone of its source. Zones
+    are estimated by the order of arrival (see violations): of all declared zones, and `unknown`, a source has
+    the offset history with the fewest violations. What is declared comes first: another zone is taken only if the
+    declared one's mean violation is larger by `margin_h` hours and the noise of n rows, 12 / sqrt(n) hours. A source
+    without a declared zone stands to `unknown` in the same way; with guess_undeclared=False (where a statement fixes the zone
+    of such sources) it is of `unknown`, whatever its rows say.
 
     Defined cases: null, empty or placeholder texts, impossible dates and unknown zone names give null; a null
     source is a source without a profile; two profiles of one source count as the one with the least zone name;
-    an empty table gives none; other columns pass through.
+    more than 1,000 different zones are an error; an empty table gives none; other columns pass through.
     """
     own = profiles.select(F.col("source").alias("__ps"), F.col("zone_name").alias("__zone"), F.col("date_order").alias("__order")).where("__ps is not null")
-    known = list(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())
-    own = own.withColumn("__zone", F.when(F.col("__zone").isin(known), F.col("__zone")))
+    own = own.withColumn("__zone", F.when(java_zone(F.col("__zone")), F.col("__zone")))
     own = own.groupBy("__ps").agg(F.min(F.struct("__zone", "__order")).alias("__p")).select("__ps", "__p.*")
+    names = {r[0] for r in own.select("__zone").where("__zone is not null").distinct().limit(1001).collect()} | ({unknown} if unknown else set())
+    if len(names) > 1001:
+        raise ValueError("more than 1,000 zones")
     parsed = parse(df.join(own, df[source] == own["__ps"], "left"), text, "__order")
-    zone = F.col("__zone")
-    if estimate:
-        names = sorted({r[0] for r in own.select("__zone").where("__zone is not null").distinct().limit(1000).collect()} | {"UTC"})
-        best = estimate_zones(parsed.where("__zone is null"), source, seq, names, stream, per_bucket)
-        best = checkpoint(best.where((F.col("margin_h") >= least_margin_h + 12 / F.sqrt("n")) & (F.col("n") >= least_rows)).select(F.col("source").alias("__es"), F.col("zone").alias("__guess")))
-        parsed = parsed.join(best, parsed[source].eqNullSafe(best["__es"]), "left")
-        zone = F.coalesce(zone, F.col("__guess"))
-    at = F.coalesce("__us", local_to_utc(F.col("__local"), F.coalesce(zone, F.lit(unknown))))
+    asked = parsed if guess_undeclared else parsed.where("__zone is not null or __us is not null")
+    rated = violations(asked, source, seq, sorted(names), stream, per_bucket).join(own, F.col("source") == F.col("__ps"), "left")
+    first = F.coalesce("__zone", F.lit(unknown))
+    best, stated = F.get("rated", F.lit(0)), F.get(F.filter("rated", lambda r: r["zone"] == first), F.lit(0))
+    beaten = F.coalesce(stated["v"] - best["v"] < (margin_h + 12 / F.sqrt("n")) * 3.6e9, stated["v"].isNotNull())
+    zones = checkpoint(rated.select(F.col("source").alias("__es"), F.when(beaten, first).otherwise(best["zone"]).alias("__best")))
+    parsed = parsed.join(zones, parsed[source].eqNullSafe(zones["__es"]), "left")
+    # A source none of whose local times can be aligned has no violations at all: what is declared holds.
+    zone = F.coalesce("__best", "__zone", F.lit(unknown)) if guess_undeclared else F.when(F.col("__zone").isNull(), F.lit(unknown)).otherwise(F.coalesce("__best", "__zone"))
+    at = F.coalesce("__us", local_to_utc(F.col("__local"), zone))
     return parsed.select(*[F.col(c) for c in df.columns], at.alias("utc_us"))

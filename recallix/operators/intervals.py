@@ -38,11 +38,7 @@ def _coalesced(pieces: DataFrame, within: list[str]) -> DataFrame:
     return numbered.groupBy(*within, "__island").agg(F.min("__s").alias("__s"), F.max("__e").alias("__e")).drop("__island")
 
 
-def _rows(kind: str, keys: list[str]) -> list[Column]:
-    return [*map(F.col, keys), F.lit(kind).alias("__kind"), F.col("__s"), F.col("__e")]
-
-
-def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, base: int = 50_000) -> DataFrame:
+def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, base: int = 256) -> DataFrame:
     """For each key the maximal continuous periods and the gaps between two of them.
 
     start and end are bigint columns in any one unit; intervals are half-open, a null bound is open. Returns the
@@ -50,9 +46,10 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, base:
     where a key has them). Other columns of df play no part.
 
     Two-level merge. Equal starts of a key are collapsed to their largest end first. Keys with more than about
-    `base` starts are cut into time shards at quantiles of the start; each interval is clipped to the shards it
-    begins and ends in, those it covers wholly are noted once a shard. Every shard is merged by itself; then
-    coverage that touches a shard's edge (two pieces a shard at most) is stitched. No task gets a whole hot key.
+    `base` starts are cut into time shards at quantiles of the start (others are one shard); each interval is clipped
+    to the shards it begins and ends in, those it covers wholly are noted once a shard. Every shard is merged by
+    itself; then coverage that touches a shard's edge (two pieces a shard at most) is stitched. No task gets a whole
+    hot key.
 
     Defined cases: rows whose end isn't after their start are no intervals; a null key is a key like any other;
     repeated rows and ties change nothing; an empty table gives no rows.
@@ -61,32 +58,29 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, base:
     rows = df.select(*[F.col(x).alias(y) for x, y in zip(keys, k)], F.coalesce(F.col(start), F.lit(OPEN_START)).alias("__s"), F.coalesce(F.col(end), F.lit(OPEN_END)).alias("__e"))
     rows = rows.where("__e > __s").groupBy(*k, "__s").agg(F.max("__e").alias("__e"))
     bounds = hot_bounds(rows, k, "__s", base)
-    if bounds is None:
-        local = _coalesced(rows, k)
-        w = Window.partitionBy(*k).orderBy("__s")
-        both = local.withColumn("__p", F.lag("__e").over(w))
-        made = F.array(F.struct(F.lit("period").alias("kind"), F.col("__s").alias("s"), F.col("__e").alias("e")), F.when(F.col("__p").isNotNull(), F.struct(F.lit("gap").alias("kind"), F.col("__p").alias("s"), F.col("__s").alias("e"))))
-        out = both.select(*k, F.explode(F.filter(made, lambda x: x.isNotNull())).alias("__x")).select(*k, F.col("__x.kind").alias("__kind"), F.col("__x.s").alias("__s"), F.col("__x.e").alias("__e"))
-    else:
-        cut = with_cuts(rows, k, bounds)
-        first, last = shard_of("__s"), F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col("__e"))))
-        cut = cut.withColumns({"__a": first, "__z": last})
-        low = lambda shard: F.get("__cuts", shard - 1)
-        part = lambda shard, s, e: F.struct(shard.alias("shard"), s.alias("s"), e.alias("e"))
-        clipped = F.when(F.col("__a") == F.col("__z"), F.array(part(F.col("__a"), F.col("__s"), F.col("__e")))).otherwise(F.array(part(F.col("__a"), F.col("__s"), F.get("__cuts", F.col("__a"))), part(F.col("__z"), low(F.col("__z")), F.col("__e"))))
-        pieces = cut.select(*k, F.explode(clipped).alias("__x")).select(*k, F.col("__x.shard").alias("__shard"), F.col("__x.s").alias("__s"), F.col("__x.e").alias("__e"))
+    cut = with_cuts(rows, k, bounds)
+    first, last = shard_of("__s"), F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col("__e"))))
+    cut = cut.withColumns({"__a": first, "__z": last})
+    low = lambda shard: F.get("__cuts", shard - 1)
+    part = lambda shard, s, e: F.struct(shard.alias("shard"), s.alias("s"), e.alias("e"))
+    clipped = F.when(F.col("__a") == F.col("__z"), F.array(part(F.col("__a"), F.col("__s"), F.col("__e")))).otherwise(F.array(part(F.col("__a"), F.col("__s"), F.get("__cuts", F.col("__a"))), part(F.col("__z"), low(F.col("__z")), F.col("__e"))))
+    pieces = cut.select(*k, F.explode(clipped).alias("__x")).select(*k, F.col("__x.shard").alias("__shard"), F.col("__x.s").alias("__s"), F.col("__x.e").alias("__e"))
+    if bounds is not None:  # what covers whole shards
         spans = cut.where("__z - __a > 1").select(*k, "__a", "__z").distinct()
         whole = spans.select(*k, F.explode(F.sequence(F.col("__a") + 1, F.col("__z") - 1)).alias("__shard")).distinct()
-        whole = with_cuts(whole, k, bounds).select(*k, "__shard", F.get("__cuts", F.col("__shard") - 1).alias("__s"), F.get("__cuts", F.col("__shard")).alias("__e"))
-        local = with_cuts(_coalesced(pieces.unionByName(whole), [*k, "__shard"]), k, bounds)
-        touches = F.when(F.col("__cuts").isNull(), False).otherwise(F.coalesce(F.col("__s") == F.get("__cuts", F.col("__shard") - 1), F.lit(False)) | F.coalesce(F.col("__e") == F.get("__cuts", F.col("__shard")), F.lit(False)))
-        local = local.withColumn("__t", touches)
-        stitched = _coalesced(local.where("__t").select(*k, "__s", "__e"), k)
-        inner = local.withColumn("__p", F.lag("__e").over(Window.partitionBy(*k, "__shard").orderBy("__s")))
-        inner_gaps = inner.where("__p is not null").select(*k, F.col("__p").alias("__s"), F.col("__s").alias("__e"))
+        pieces = pieces.unionByName(with_cuts(whole, k, bounds).select(*k, "__shard", F.get("__cuts", F.col("__shard") - 1).alias("__s"), F.get("__cuts", F.col("__shard")).alias("__e")))
+    local = with_cuts(_coalesced(pieces, [*k, "__shard"]), k, bounds)
+    touches = F.when(F.col("__cuts").isNull(), False).otherwise(F.coalesce(F.col("__s") == F.get("__cuts", F.col("__shard") - 1), F.lit(False)) | F.coalesce(F.col("__e") == F.get("__cuts", F.col("__shard")), F.lit(False)))
+    local = local.withColumns({"__t": touches, "__p": F.lag("__e").over(Window.partitionBy(*k, "__shard").orderBy("__s"))})
+    piece = lambda kind, s, e: F.struct(F.lit(kind).alias("kind"), F.col(s).alias("s"), F.col(e).alias("e"))
+    made = F.filter(F.array(F.when(~F.col("__t"), piece("period", "__s", "__e")), F.when(F.col("__p").isNotNull(), piece("gap", "__p", "__s"))), lambda x: x.isNotNull())
+    shown = [*k, F.col("__x.kind").alias("__kind"), F.col("__x.s").alias("__s"), F.col("__x.e").alias("__e")]
+    out = local.select(*k, F.explode(made).alias("__x")).select(*shown)
+    if bounds is not None:  # stitch
+        stitched = _coalesced(local.where("__t").select(*k, "__s", "__e"), k).select(*k, piece("period", "__s", "__e").alias("__x"))
         ends = local.where("__cuts is not null").groupBy(*k, "__shard").agg(F.min("__s").alias("__s"), F.max("__e").alias("__e"))
-        across = ends.withColumn("__p", F.lag("__e").over(Window.partitionBy(*k).orderBy("__shard"))).where("__p < __s").select(*k, F.col("__p").alias("__s"), F.col("__s").alias("__e"))
-        out = local.where("not __t").select(*_rows("period", k)).unionByName(stitched.select(*_rows("period", k))).unionByName(inner_gaps.select(*_rows("gap", k))).unionByName(across.select(*_rows("gap", k)))
+        across = ends.withColumn("__p", F.lag("__e").over(Window.partitionBy(*k).orderBy("__shard"))).where("__p < __s").select(*k, piece("gap", "__p", "__s").alias("__x"))
+        out = out.unionByName(stitched.unionByName(across).select(*shown))
     name = lambda x: x + "_" if x in keys else x
     starts, ends_ = F.when(F.col("__s") > OPEN_START, F.col("__s")), F.when(F.col("__e") < OPEN_END, F.col("__e"))
     return out.select(*[F.col(y).alias(x) for x, y in zip(keys, k)], F.col("__kind").alias(name("kind")), starts.alias(name("starts")), ends_.alias(name("ends")))

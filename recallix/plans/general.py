@@ -15,22 +15,32 @@ from recallix.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+def p1_found(spark: SparkSession, folder: str, base: int = 256) -> DataFrame:
     """Periods and gaps of each subject and predicate of temporal_facts.
 
     A bound that is text but no time makes its row no interval; a null bound is open.
     """
     facts = table(spark, folder, "temporal_facts").select("subject", "predicate", "valid_from", "valid_until", utc_text_to_micros(F.col("valid_from")).alias("from_us"), utc_text_to_micros(F.col("valid_until")).alias("until_us"))
     facts = facts.where("(valid_from is null or from_us is not null) and (valid_until is null or until_us is not null)")
-    out = periods_and_gaps(facts.select("subject", "predicate", "from_us", "until_us"), ["subject", "predicate"], "from_us", "until_us")
+    out = periods_and_gaps(facts.select("subject", "predicate", "from_us", "until_us"), ["subject", "predicate"], "from_us", "until_us", base)
     shown = lambda c: F.coalesce(micros_to_utc_text(F.col(c)), F.lit("-")).alias(c)
     return out.select("subject", "predicate", "kind", shown("starts"), shown("ends"))
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+def p1_small_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with keys of more than 8 starts cut into shards."""
+    return p1_found(spark, folder, 8)
+
+
+def p5_found(spark: SparkSession, folder: str, **sizes: int) -> DataFrame:
     """The history of each relationship of relationship_versions."""
     log = table(spark, folder, "relationship_versions")
-    return state_history(log, "relationship_id", "timestamp", "version", "id", ["relation_type", "weight", "confidence", "provenance"], is_deletion("change_type"))
+    return state_history(log, "relationship_id", "timestamp", "version", "id", ["relation_type", "weight", "confidence", "provenance"], is_deletion("change_type"), **sizes)
+
+
+def p5_small_words(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with bitmaps of words of 4 bits, chunks of 2 words and keys of more than 8 snapshots numbered in shards."""
+    return p5_found(spark, folder, base=8, word=4, chunk=2)
 
 
 def _times(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,22 +53,24 @@ def _times(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The UTC instant of each valid time of graph_entities, episodes and fact_triples; of undeclared sources in UTC."""
-    out = to_instants(_times(spark, folder), "text", "source", "row_id", table(spark, folder, "source_profiles"), stream="src", estimate=False)
+    """The UTC instant of each valid time of graph_entities, episodes and fact_triples; undeclared sources are UTC by statement."""
+    out = to_instants(_times(spark, folder), "text", "source", "row_id", table(spark, folder, "source_profiles"), stream="src", guess_undeclared=False)
     return out.where("utc_us is not null").select("src", "row_id", "utc_us")
 
 
 def p6_zones(spark: SparkSession, folder: str) -> DataFrame:
     """Per source: the zone its order of arrival speaks for, against the declared one."""
     profiles = table(spark, folder, "source_profiles")
-    names = sorted(r[0] for r in profiles.select("zone_name").where("zone_name is not null").distinct().limit(1000).collect())
+    names = sorted(r[0] for r in profiles.select("zone_name").where("zone_name is not null").distinct().limit(1001).collect())
+    if len(names) > 1000:
+        raise ValueError("more than 1,000 zones")
     parsed = parse(_times(spark, folder).join(profiles.select("source", "date_order"), "source", "left"), "text", "date_order")
     best = estimate_zones(parsed, "source", "row_id", names, "src")
     declared = profiles.select(F.col("source").alias("declared_source"), F.col("zone_name").alias("declared"))
     return best.join(declared, F.col("source") == F.col("declared_source"), "left").select("source", "zone", "declared", "n", "violation_h", "margin_h")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found, "p6_zones": p6_zones}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_small_shards": p1_small_shards, "p5_found": p5_found, "p5_small_words": p5_small_words, "p6_found": p6_found, "p6_zones": p6_zones}
 
 P1_SQL = """
 WITH b AS (
@@ -107,4 +119,4 @@ SELECT relationship_id, CAST(version AS BIGINT) AS version, CAST(round(t * 1000)
 FROM n WHERE gone IS NOT TRUE
 """
 
-SQL: dict[str, str] = {"p1_found": P1_SQL, "p5_found": P5_SQL}
+SQL: dict[str, str] = {"p1_found": P1_SQL, "p1_small_shards": P1_SQL, "p5_found": P5_SQL, "p5_small_words": P5_SQL}
