@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recallix.session import checkpoint
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node of an undirected edge table; component is its smallest node.
 
     Each round a node takes the smallest label of its neighbours and then the label of that label (pointer
@@ -22,7 +22,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     e = checkpoint(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     labels = checkpoint(e.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")))
-    for _ in range(rounds):
+    while True:
         near = e.join(labels, e["y"] == labels["node"]).groupBy("x").agg(F.min("component").alias("m"))
         step = labels.join(near, labels["node"] == near["x"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("to"), F.col("component").alias("old"))
         up = step.select(F.col("node").alias("n2"), F.col("to").alias("to2"))
@@ -30,5 +30,4 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         changed = not new.where("component <> old").isEmpty()
         labels = new.drop("old")
         if not changed:
-            break
-    return labels
+            return labels

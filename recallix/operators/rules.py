@@ -139,18 +139,21 @@ def abduce(facts: DataFrame, observations: DataFrame, rules: list[Rule], top: in
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def descendants(parents: DataFrame, depth: int = 8) -> DataFrame:
-    """(ancestor, node, steps) of a hierarchy (child, parent), direct and indirect, cycles cut off at `depth`."""
-    step = parents.where("child <> parent").select("child", "parent").distinct()
+def descendants(parents: DataFrame, itself: bool = False) -> DataFrame:
+    """(ancestor, node, steps) of a hierarchy (child, parent), direct and indirect, with the fewest steps.
+
+    Goes on until no pair is new, so cycles end by themselves. With itself every node is its own in 0 steps.
+    """
+    step = checkpoint(parents.where("child <> parent").select("child", "parent").distinct())
     level = step.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("steps"))
-    seen = level
-    for n in range(2, depth + 1):
+    seen, n = level, 1
+    while not level.isEmpty():
+        n += 1
         level = level.join(step, level["node"] == step["parent"]).select("ancestor", F.col("child").alias("node"), F.lit(n).alias("steps")).where("ancestor <> node")
         level = checkpoint(level.join(seen, ["ancestor", "node"], "left_anti").distinct())
-        if level.isEmpty():
-            break
         seen = checkpoint(seen.unionByName(level))
-    return seen
+    own = parents.select(F.explode(F.array("child", "parent")).alias("node")).where("node is not null").distinct().select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("steps"))
+    return seen.unionByName(own) if itself else seen
 
 
 def answer_why(facts: DataFrame, questions: DataFrame, rules: list[Rule], relation: str = "is_a", depth: int = 3, top: int = 3) -> DataFrame:

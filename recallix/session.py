@@ -24,6 +24,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; on a cluster it must be set, a local session gets one of its own."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="recallix-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and returns it without lineage.
 
@@ -33,5 +41,5 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="recallix-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -5,7 +5,6 @@ Batch and stream share their expressions, so a stream over finished input gives
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recallix.functions import text as X
+from recallix.session import shared_folder
 from recallix.sources.tables import utc
 
 
@@ -68,7 +68,7 @@ def run_once(stream: DataFrame, mode: str = "append", folder: str | None = None)
     Files and checkpoints go to `folder`: by default beneath spark.checkpoint.dir, on a cluster a shared folder.
     """
     spark = stream.sparkSession
-    base = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    base = folder or shared_folder(spark)
     place = f"{base.rstrip('/')}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
 
     def write(batch: DataFrame, number: int) -> None:
