@@ -244,3 +244,21 @@ def search(edges: DataFrame, names: DataFrame, asked: DataFrame, limit: int = 10
     two = asked.join(words, F.lower(asked["name"]) == words["word"]).select("qid", F.col("entity").alias("text"), F.lit(0.4).alias("score"))
     best = one.unionByName(two).groupBy("qid", "text").agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "text"))).where(F.col("rank") <= limit)
+
+
+def supernode_paths(edges: DataFrame, labels: DataFrame, seeds: DataFrame, max_hops: int = 2) -> DataFrame:
+    """(start, goal, hops, path): the best path over communities (node, community) from each seed's to every other.
+
+    An edge between two nodes is one between their communities, so the graph that is searched is far smaller.
+    """
+    small = between_communities(edges, labels).select(F.col("cs").alias("s"), F.col("ct").alias("t"), F.lit("linked").alias("r"), "w", F.lit(1.0).alias("c"))
+    starts = labels.join(seeds, labels["node"] == seeds["seed"], "left_semi").select(F.col("community").alias("seed")).distinct()
+    best = simple_paths(checkpoint(small), starts, max_hops, per_pair=1)
+    return best.select("start", "goal", "hops", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+def consistency(edges: DataFrame, single: list[str]) -> DataFrame:
+    """(r, groups, contradictory, score): of the sources of each relation that should have one target, those with several."""
+    n = edges.where(F.col("r").isin(single)).groupBy("s", "r").agg(F.count_distinct("t").alias("n"))
+    bad = F.sum((F.col("n") > 1).cast("int"))
+    return n.groupBy("r").agg(F.count(F.lit(1)).alias("groups"), bad.alias("contradictory"), F.round(1 - bad / F.count(F.lit(1)), 6).alias("score"))

@@ -1,21 +1,23 @@
 """Conversation memory: context under a token budget, tiers, extractive compression, adaptive weights.
 
-Folds over the messages of one conversation take a whole conversation as one row (an array of its messages), so no
-group is gathered for them; what can be summed or ranked is done by windows and aggregates.
+Folds over the messages of one conversation read them as they come, sorted, from a shuffle by conversation: what is held
+is the state of the fold, never a conversation as one row. What can be summed or ranked is done by aggregates.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, deque
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallix.functions import text as X
+from recallix.operators.hot import running_totals
 
 _PERSONAL = re.compile(X.PERSONAL_HINT)
 _CODE = re.compile(r"```[\s\S]*?```")
@@ -33,13 +35,35 @@ class Segment:
     at: float
 
 
-def fill_context(messages: DataFrame, keys: list[str], order: list, tokens: str, budget: int) -> DataFrame:
+def fill_context(messages: DataFrame, keys: list[str], order: str, tokens: str, budget: int, base: int = 50_000) -> DataFrame:
     """The messages from the first on whose tokens fit the budget together, with `used`, the running sum.
 
-    It stops at the first message that doesn't fit; running sums only grow, so that is a filter.
+    It stops at the first message that doesn't fit; running sums only grow, so that is a filter. order is a bigint.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return messages.withColumn("used", F.sum(tokens).over(w)).where(F.col("used") <= budget)
+    return running_totals(messages, keys, order, {"used": tokens}, base).where(F.col("used") <= budget)
+
+
+def _folded(rows: DataFrame, key: str, order: str, fold: Callable[[Iterator[dict]], Iterable[tuple]], schema: str) -> DataFrame:
+    """Runs fold over the rows of each key, in order, and gives what it yields with the key in front.
+
+    Rows are shuffled by key and sorted, and reach the fold batch by batch.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    size = 5_000
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream = (r for b in batches for r in b.to_dict("records"))
+        out: list[tuple] = []
+        for k, group in itertools.groupby(stream, key=lambda r: r[key]):
+            for made in fold(group):
+                out.append((k, *made))
+                if len(out) >= size:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
 
 
 def truncated(text: str, ratio: float) -> str:
@@ -83,10 +107,11 @@ class Tiers:
     def __init__(self, limits: tuple[int, int, int]):
         self.limits = limits
         self.tiers: list[list[Segment]] = [[], [], []]
+        self.sums = [0, 0, 0]
         self.dropped: list[Segment] = []
 
     def used(self, i: int) -> int:
-        return sum(s.tokens for s in self.tiers[i])
+        return self.sums[i]
 
     def _full(self, i: int) -> bool:
         return self.used(i) >= self.limits[i]
@@ -95,6 +120,7 @@ class Tiers:
         fits = self.used(i) + s.tokens <= self.limits[i]
         if fits:
             self.tiers[i].append(s)
+            self.sums[i] += s.tokens
         return fits
 
     def _least(self, i: int) -> Segment | None:
@@ -104,6 +130,7 @@ class Tiers:
             return None
         s = min(free, key=lambda s: (s.importance, s.at, s.pos))
         self.tiers[i].remove(s)
+        self.sums[i] -= s.tokens
         return s
 
     def _tidy(self, i: int) -> None:
@@ -133,31 +160,34 @@ class Tiers:
         self._tidy(1)
 
 
-def _segments(messages) -> list[Segment]:
-    return [Segment(int(m["pos"]), m["role"] or "", m["content"] or "", float(m["importance"]), int(m["tokens"]), float(m["at"] or 0.0)) for m in (messages if messages is not None else [])]
+def _segment(m: dict) -> Segment:
+    at = m["at"]
+    return Segment(int(m["pos"]), m["role"] or "", m["content"] or "", float(m["importance"]), int(m["tokens"]), 0.0 if at is None or at != at else float(at))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """(episode, messages): the messages of each conversation as one row, with importance and tokens."""
-    one = F.struct(F.col("pos").cast("int").alias("pos"), "role", "content", X.message_importance(F.col("role"), F.col("content")).alias("importance"), X.token_estimate(F.col("content")).alias("tokens"), "at")
-    return messages.groupBy("episode").agg(F.array_sort(F.collect_list(one)).alias("messages"))
+    """(episode, pos, role, content, importance, tokens, at): messages as the folds take them."""
+    return messages.select("episode", F.col("pos").cast("int").alias("pos"), "role", "content", X.message_importance(F.col("role"), F.col("content")).alias("importance"), X.token_estimate(F.col("content")).alias("tokens"), "at")
 
 
 def tier_cascade(talks: DataFrame, limits: tuple[int, int, int] = (512, 1024, 2048)) -> DataFrame:
-    """(episode, pos, tier, tokens, text): where each message ends up; tier is `dropped` for those that fit nowhere."""
+    """(episode, pos, tier, tokens, text): where each message ends up; tier is `dropped` for those that fit nowhere.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for episode, messages in zip(b["episode"], b["messages"]):
-                memory = Tiers(limits)
-                for s in _segments(messages):
-                    memory.add(s)
-                for name, tier in zip((*Tiers.NAMES, "dropped"), (*memory.tiers, memory.dropped)):
-                    rows += [(episode, s.pos, name, s.tokens, s.text) for s in tier]
-            yield pd.DataFrame(rows, columns=["episode", "pos", "tier", "tokens", "text"])
+    What the tiers hold is bounded by their limits; dropped messages leave the fold at once.
+    """
 
-    return talks.mapInPandas(run, "episode bigint, pos int, tier string, tokens int, text string")
+    def run(messages: Iterator[dict]) -> Iterator[tuple]:
+        memory = Tiers(limits)
+        for m in messages:
+            memory.add(_segment(m))
+            for s in memory.dropped:
+                yield s.pos, "dropped", s.tokens, s.text
+            memory.dropped.clear()
+        for name, tier in zip(Tiers.NAMES, memory.tiers):
+            for s in tier:
+                yield s.pos, name, s.tokens, s.text
+
+    return _folded(talks, "episode", "pos", run, "episode bigint, pos int, tier string, tokens int, text string")
 
 
 def compress_to_budget(segments: list[Segment], budget: int, now: float) -> list[Segment]:
@@ -183,16 +213,12 @@ def compress_to_budget(segments: list[Segment], budget: int, now: float) -> list
 def progressive(talks: DataFrame, budget: int = 60) -> DataFrame:
     """(episode, before, after): tokens of each conversation before and after compression to the budget."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for episode, messages in zip(b["episode"], b["messages"]):
-                s = _segments(messages)
-                now = max((x.at for x in s), default=0.0)
-                rows.append((episode, sum(x.tokens for x in s), sum(x.tokens for x in compress_to_budget(s, budget, now))))
-            yield pd.DataFrame(rows, columns=["episode", "before", "after"])
+    def run(messages: Iterator[dict]) -> Iterator[tuple]:
+        s = [_segment(m) for m in messages]
+        now = max((x.at for x in s), default=0.0)
+        yield sum(x.tokens for x in s), sum(x.tokens for x in compress_to_budget(s, budget, now))
 
-    return talks.mapInPandas(run, "episode bigint, before bigint, after bigint")
+    return _folded(talks, "episode", "pos", run, "episode bigint, before bigint, after bigint")
 
 
 #: Shares of the tiers, and of conversations of a kind.
@@ -200,13 +226,15 @@ SHARES = (0.25, 0.35, 0.40)
 PATTERNS = {"code_heavy": (0.35, 0.35, 0.30), "data_heavy": (0.20, 0.50, 0.30), "qa_conversation": (0.30, 0.30, 0.40), "complex_reasoning": (0.40, 0.40, 0.20)}
 
 
+#: What a complex or plain query, the kind of a document and sustained complexity move the shares by.
+COMPLEX, PLAIN, SUSTAINED = (0.10, 0.05, -0.15), (-0.05, 0.0, 0.05), (0.05, 0.05, -0.10)
+KINDS = {"code": (0.05, 0.05, -0.10), "mixed": (0.05, 0.05, -0.10), "data": (-0.05, 0.10, -0.05)}
+
+
 def optimal_shares(complexity: float, kind: str, sustained: bool) -> tuple[float, ...]:
     """Shares of the tiers for a query's complexity and a document's kind, none below 0.1, summing to 1."""
-    a, w, r = SHARES
-    moves = [(0.10, 0.05, -0.15)] if complexity > 0.7 else [(-0.05, 0.0, 0.05)] if complexity < 0.3 else []
-    moves += {"code": [(0.05, 0.05, -0.10)], "mixed": [(0.05, 0.05, -0.10)], "data": [(-0.05, 0.10, -0.05)]}.get(kind, [])
-    moves += [(0.05, 0.05, -0.10)] if sustained else []
-    total = [max(0.1, x + sum(m[i] for m in moves)) for i, x in enumerate((a, w, r))]
+    moves = [COMPLEX] * (complexity > 0.7) + [PLAIN] * (complexity < 0.3) + ([KINDS[kind]] if kind in KINDS else []) + [SUSTAINED] * sustained
+    total = [max(0.1, x + sum(m[i] for m in moves)) for i, x in enumerate(SHARES)]
     return tuple(x / sum(total) for x in total)
 
 
@@ -216,14 +244,14 @@ def allocate(shares: tuple[float, ...], budget: int, least: int = 1000) -> tuple
     return tuple(int(x * budget / sum(out)) for x in out) if sum(out) > budget else tuple(out)
 
 
-def weight_fold(queries: list[tuple[float, str]], rate: float = 0.1) -> tuple[tuple[float, ...], str]:
-    """Shares after a run of (complexity, kind) queries: each moves them by `rate` to its optimum.
+def weight_fold(queries: Iterable[tuple[float, str]], rate: float = 0.1) -> tuple[int, tuple[float, ...], str]:
+    """The number of (complexity, kind) queries, and the shares and pattern after them: each moves the shares by `rate` to its optimum.
 
     From the tenth on, every fifth query mixes in the shares of the pattern the history shows.
     """
-    shares, kinds, seen, pattern = SHARES, Counter(), [], "general"
+    shares, kinds, seen, pattern, n = SHARES, Counter(), deque(maxlen=50), "general", 0
     for n, (complexity, kind) in enumerate(queries, 1):
-        seen = [*seen, complexity][-50:]
+        seen.append(complexity)
         kinds[kind] += 1
         mean = sum(seen) / len(seen)
         best = optimal_shares(complexity, kind, len(seen) > 5 and mean > 0.6)
@@ -233,19 +261,21 @@ def weight_fold(queries: list[tuple[float, str]], rate: float = 0.1) -> tuple[tu
             pattern = "code_heavy" if kinds["code"] / total > 0.3 else "data_heavy" if kinds["data"] / total > 0.3 else "complex_reasoning" if mean > 0.7 else "qa_conversation" if mean < 0.4 else "general"
             if pattern in PATTERNS:
                 shares = tuple(s + rate * (p - s) for s, p in zip(shares, PATTERNS[pattern]))
-    return shares, pattern
+    return n, shares, pattern
 
 
-def dynamic_weights(talks: DataFrame, budget: int = 10_000) -> DataFrame:
-    """(episode, queries, active, working, archive, pattern): the tier limits a conversation ends with."""
+def dynamic_weights(queries: DataFrame, budget: int = 10_000) -> DataFrame:
+    """(episode, queries, active, working, archive, pattern): the tier limits after the queries (episode, pos, complexity, kind)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for episode, qs in zip(b["episode"], b["queries"]):
-                got = [(float(x["complexity"]), x["kind"]) for x in (qs if qs is not None else [])]
-                shares, pattern = weight_fold(got)
-                rows.append((episode, len(got), *allocate(shares, budget), pattern))
-            yield pd.DataFrame(rows, columns=["episode", "queries", "active", "working", "archive", "pattern"])
-
-    return talks.mapInPandas(run, "episode bigint, queries int, active int, working int, archive int, pattern string")
+    def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        n, shares, pattern = weight_fold((float(r["complexity"]), r["kind"]) for r in rows)
+        yield n, *allocate(shares, budget), pattern
+
+    return _folded(queries.select("episode", "pos", "complexity", "kind"), "episode", "pos", run, "episode bigint, queries int, active int, working int, archive int, pattern string")
+
+
+def limits_updated(limits: DataFrame, used: DataFrame, asked: DataFrame, least: int = 1000) -> DataFrame:
+    """(key, tier, limit_tokens, accepted): limits (key, tier, limit_tokens) after the asked ones, refused below what is used or `least`."""
+    rows = limits.join(used.select("key", "tier", F.col("tokens").alias("used")), ["key", "tier"], "left").join(asked.select("key", "tier", F.col("limit_tokens").alias("new")), ["key", "tier"], "left")
+    fine = F.col("new") >= F.greatest(F.coalesce("used", F.lit(0)), F.lit(least))
+    return rows.select("key", "tier", F.when(fine, F.col("new")).otherwise(F.col("limit_tokens")).alias("limit_tokens"), F.when(F.col("new").isNotNull(), fine).alias("accepted"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallix.operators.hot import running_totals, sequenced
+from recallix.session import checkpoint
+
 
 def nary(headers: DataFrame, participants: DataFrame, entities: DataFrame, key: str = "id") -> DataFrame:
     """Headers with `participants`, a map role -> names of the entities that take it, in order."""
@@ -38,34 +41,52 @@ def latest_distribution(distributions: DataFrame) -> DataFrame:
     return last.select("entity_id", "relation_id", "d.distribution_type", F.from_json("d.distribution_data", "map<string,double>").alias("distribution"))
 
 
-def revision_impact(snapshots: DataFrame, events: DataFrame, recovery: float = 0.95) -> DataFrame:
-    """(event, before, after, drop, recovered_at): the consistency (at, score) of snapshots around each event (event, at).
+def revision_impact(snapshots: DataFrame, events: DataFrame, recovery: float = 0.95, base: int = 50_000, block: int = 1000) -> DataFrame:
+    """(event, before, after, drop, recovered_at): the score of snapshots (at: bigint, score) around each event (event, at).
 
     before is the mean of the last three snapshots up to it, after the first one after it; recovered_at the time of
-    the first later one with at least `recovery` of before. Snapshots and events of one store, some thousands, meet in
-    windows over their union in the order of time.
+    the first later one with at least `recovery` of before. Snapshots are numbered in time shards; an event meets the
+    four around it by number. The first recovered one is looked for in the event's block of `block` snapshots, then in the
+    first later block whose greatest score is enough: nothing is gathered. Ties in time go by the score.
     """
-    both = snapshots.select("at", F.col("score"), F.lit(None).cast("string").alias("event")).unionByName(events.select("at", F.lit(None).cast("double").alias("score"), F.col("event").cast("string")))
-    w = Window.partitionBy(F.lit(0)).orderBy("at", F.col("event").isNotNull(), "event")
-    seen = F.filter(F.collect_list(F.struct("at", "score")).over(w.rowsBetween(Window.unboundedPreceding, 0)), lambda s: s["score"].isNotNull())
-    later = F.filter(F.collect_list(F.struct("at", "score")).over(w.rowsBetween(1, Window.unboundedFollowing)), lambda s: s["score"].isNotNull())
-    rows = both.select("event", F.when(F.col("event").isNotNull(), F.slice(F.reverse(seen), 1, 3)).alias("seen"), F.when(F.col("event").isNotNull(), later).alias("later")).where("event is not null")
-    rows = rows.withColumn("before", F.when(F.size("seen") > 0, F.aggregate("seen", F.lit(0.0), lambda a, s: a + s["score"]) / F.size("seen")))
-    back = F.filter("later", lambda s: s["score"] >= recovery * F.col("before"))
-    return rows.select("event", "before", F.get("later", F.lit(0))["score"].alias("after"), (F.col("before") - F.get("later", F.lit(0))["score"]).alias("drop"), F.get(back, F.lit(0))["at"].alias("recovered_at"))
+    one = F.lit(0).alias("k")
+    s = sequenced(snapshots.select(one, F.col("at").cast("bigint").alias("at"), "score"), ["k"], "at", "score", base).select("k", "at", "score", "place")
+    asked = events.select(one, F.col("at").cast("bigint").alias("at"), F.col("event").cast("string").alias("event"))
+    both = s.select("k", "at", F.lit(1).alias("is"), F.lit(None).cast("string").alias("event")).unionByName(asked.select("k", "at", F.lit(0).alias("is"), "event"))
+    spots = checkpoint(running_totals(both, ["k"], "at", {"seen": "is"}, base).where("event is not null").select("event", F.col("seen").alias("spot")))
+    around = spots.select("event", "spot", F.explode(F.array(*[F.col("spot") + i for i in (-2, -1, 0, 1)])).alias("place")).join(s, "place")
+    means = around.groupBy("event", "spot").agg(F.avg(F.when(F.col("place") <= F.col("spot"), F.col("score"))).alias("before"), F.max(F.when(F.col("place") > F.col("spot"), F.col("score"))).alias("after"))
+    goal = means.where("before is not null").select("event", "spot", (recovery * F.col("before")).alias("goal"), F.floor(F.col("spot") / block).alias("own"))
+    blocks = s.withColumn("b", F.floor(F.col("place") / block))
+    later = goal.join(blocks.groupBy("b").agg(F.max("score").alias("most")), (F.col("b") > F.col("own")) & (F.col("most") >= F.col("goal"))).groupBy("event").agg(F.min("b").alias("b"))
+    tries = goal.select("event", "spot", "goal", F.col("own").alias("b")).unionByName(goal.join(later, "event").select("event", "spot", "goal", "b"))
+    back = tries.join(blocks, "b").where("place > spot and score >= goal").groupBy("event").agg(F.min_by("at", "place").alias("recovered_at"))
+    return spots.select("event").join(means, "event", "left").join(back, "event", "left").select("event", "before", "after", (F.col("before") - F.col("after")).alias("drop"), "recovered_at")
 
 
 def path_tests(paths: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """`n` test cases (question, expected, path) from paths of two hops or more, drawn by a seeded hash."""
-    drawn = paths.where("hops >= 2").orderBy(F.xxhash64("start", "goal", F.col("path").cast("string"), F.lit(seed)), "start", "goal").limit(n)
+    shown = F.array_join(F.col("path").cast("array<string>"), ">")
+    drawn = paths.where("hops >= 2").withColumn("shown", shown).orderBy(spread_key(seed, "start", "goal", "shown"), "start", "goal", "shown").limit(n)
     return drawn.select(F.concat(F.lit("How is "), F.col("start").cast("string"), F.lit(" related to "), F.col("goal").cast("string"), F.lit("?")).alias("question"), F.col("goal").alias("expected"), "path")
 
 
-def counterfactual_tests(edges: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """`n` triples (s, r, t) that don't hold: targets of a relation, moved on by one among its sources in hash order."""
-    w = Window.partitionBy("r").orderBy(F.xxhash64("s", "t", F.lit(seed)), "s", "t")
-    moved = edges.select("s", "r", F.lead("t").over(w).alias("t")).where("t is not null and s <> t")
-    return moved.join(edges.select("s", "r", "t"), ["s", "r", "t"], "left_anti").distinct().orderBy(F.xxhash64("s", "r", "t", F.lit(seed))).limit(n)
+def spread_key(seed: int, *columns: str) -> Column:
+    """A bigint that depends on the columns and the seed only: 60 bits of an md5."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+def counterfactual_tests(edges: DataFrame, n: int, seed: int = 1, base: int = 50_000) -> DataFrame:
+    """`n` triples (s, r, t) that don't hold: targets of a relation, moved on by one among its sources in a seeded order.
+
+    Places are counted in shards (hot.sequenced) and met by a join, so a relation of any number of edges is no single task.
+    """
+    rows = edges.select("s", "r", "t").distinct().withColumn("h", spread_key(seed, "s", "t")).withColumn("tie", F.struct("s", "t"))
+    placed = sequenced(rows, ["r"], "h", "tie", base).select("s", "r", "t", "place")
+    next_ = placed.select("r", (F.col("place") - 1).alias("place"), F.col("t").alias("moved"))
+    moved = placed.join(next_, ["r", "place"]).select("s", "r", F.col("moved").alias("t")).where("s <> t")
+    return moved.join(edges.select("s", "r", "t"), ["s", "r", "t"], "left_anti").distinct().orderBy(spread_key(seed, "s", "r", "t"), "s", "r", "t").limit(n)
 
 
 def reasoning_chain(expected: DataFrame, actual: DataFrame) -> DataFrame:

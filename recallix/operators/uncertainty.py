@@ -73,3 +73,22 @@ def coverage(items: DataFrame, required: list[str], answer: str, confidence: str
     share = matched / F.lit(float(len(required)))
     rows = items.select(F.col(answer).alias("answer"), matched.alias("matched"), (share * F.coalesce(confidence, F.lit(0.5))).alias("match_confidence"), share.alias("__share")).where(F.col("__share") > least)
     return rows.orderBy(F.desc("match_confidence"), "answer").limit(top).select("answer", "matched", F.round("match_confidence", 6).alias("match_confidence"))
+
+
+def missing_fields(required: list[str]) -> Column:
+    """The names of the required columns that are null in a row."""
+    return F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]), lambda x: x.isNotNull())
+
+
+def incomplete_answer(items: DataFrame, keys: list[str], answer: str, required: list[str], confidence: str, tie: str, least: float = 0.3) -> DataFrame:
+    """(keys, answer, confidence, complete): the best answer of each key from items that may lack required fields.
+
+    A complete item counts with its confidence (0.5 if unknown), before all others; an incomplete one with its coverage
+    times its confidence times 0.8, if it covers more than `least`; without any of these it is `Unknown` with 0.1.
+    """
+    share = (F.lit(len(required)) - F.size(missing_fields(required))) / F.lit(float(len(required)))
+    sure = F.coalesce(F.col(confidence), F.lit(0.5))
+    score = F.when(share == 1, sure).when(share > least, share * sure * 0.8)
+    rank = F.struct((share == 1).alias("whole"), F.coalesce(F.round(score, 9), F.lit(-1.0)).alias("v"), (-F.col(tie)).alias("t"))
+    best = items.groupBy(*keys).agg(F.max_by(F.struct(F.col(answer).alias("a"), score.alias("s"), (share == 1).alias("w")), rank).alias("b"))
+    return best.select(*keys, F.when(F.col("b.s").isNull(), "Unknown").otherwise(F.col("b.a")).alias("answer"), F.round(F.coalesce("b.s", F.lit(0.1)), 6).alias("confidence"), F.col("b.w").alias("complete"))

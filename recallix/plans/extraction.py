@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from recallix.functions import extraction as E
 from recallix.functions import text as X
 from recallix.operators import records as D
-from recallix.plans.graph import EDGES, edges, seeds
-from recallix.plans.text import ITEMS, MESSAGES, items, q, said, written
+from recallix.plans.graph import EDGES, _walks, edges, seeds
+from recallix.plans.text import ITEMS, MESSAGES, WRITTEN, items, q, said, written
 from recallix.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,15 +46,11 @@ def extract_domain_terms(spark, folder):
     return items(spark, folder).select("id", F.explode(E.domain_terms(F.col("text"))).alias("x")).select("id", "x.type", "x.value")
 
 
-@query("extract_entity_pairs", "SELECT relationship_id, CAST(source_id AS VARCHAR) AS start, CAST(target_id AS VARCHAR) AS goal FROM relationship_versions WHERE source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY ALL")
-def extract_entity_pairs(spark, folder):
-    r = table(spark, folder, "relationship_versions").where("source_id is not null and target_id is not null").select("relationship_id", "source_id", "target_id").distinct()
-    asked = F.concat(F.lit("What is the relationship between "), F.col("source_id").cast("string"), F.lit(" and "), F.col("target_id").cast("string"), F.lit("?"))
-    return r.select("relationship_id", E.entity_pair(asked).alias("p")).select("relationship_id", "p.start", "p.goal")
+_PAIRS = [q(E.PAIR), q(E.PAIR_AGAIN)]
 
 
-@query("extract_entity_pairs_written")
-def extract_entity_pairs_written(spark, folder):
+@query("extract_entity_pairs", f"WITH {WRITTEN}, p AS (SELECT *, CASE WHEN regexp_matches(text, {_PAIRS[0]}) THEN regexp_extract(text, {_PAIRS[0]}, ['a', 'b']) WHEN regexp_matches(text, {_PAIRS[1]}) THEN regexp_extract(text, {_PAIRS[1]}, ['a', 'b']) END AS p FROM wr) SELECT src, row_id, pos, trim(p.a) AS start, trim(p.b) AS goal FROM p WHERE p IS NOT NULL")
+def extract_entity_pairs(spark, folder):
     return written(spark, folder).select("src", "row_id", "pos", E.entity_pair(F.col("text")).alias("p")).where("p is not null").select("src", "row_id", "pos", "p.start", "p.goal")
 
 
@@ -63,15 +59,8 @@ def extract_question_facts(spark, folder):
     return said(spark, folder).where(F.col("content").startswith("Why ")).select("episode", F.col("pos").cast("long").alias("pos"), E.fact_of_question(F.col("content")).alias("f")).where("f is not null").select("episode", "pos", "f.s")
 
 
-@query("extract_marked_facts", "SELECT id, subject || ' ' || predicate AS fact FROM (SELECT id, string_split(trim(subject), ' ')[1] AS subject, predicate FROM fact_triples WHERE subject IS NOT NULL AND predicate IS NOT NULL)")
+@query("extract_marked_facts", rf"WITH {WRITTEN}, l AS (SELECT src, row_id, pos, unnest(string_split(trim(text), chr(10))) AS line FROM wr), w AS (SELECT *, regexp_split_to_array(trim(substr(line, 2)), '\s+') AS w FROM l WHERE starts_with(line, '📚')) SELECT src, row_id, pos, w[1] AS s, w[2] AS r, w[3] AS o FROM w WHERE len(w) >= 3")
 def extract_marked_facts(spark, folder):
-    f = table(spark, folder, "fact_triples").where("subject is not null and predicate is not null")
-    said_ = F.concat(F.lit("note\n! "), F.get(F.split(F.trim("subject"), " "), F.lit(0)), F.lit(" "), F.col("predicate"), F.lit(" it"))
-    return f.select("id", F.explode(E.marked_facts(said_, "!")).alias("x")).select("id", F.concat_ws(" ", "x.s", "x.r").alias("fact"))
-
-
-@query("extract_marked_facts_written")
-def extract_marked_facts_written(spark, folder):
     return written(spark, folder).select("src", "row_id", "pos", F.explode(E.marked_facts(F.col("text"), "📚")).alias("x")).select("src", "row_id", "pos", "x.s", "x.r", "x.o")
 
 
@@ -83,29 +72,48 @@ def text_to_graph(spark, folder):
 
 
 
-@query("nary_relations", f"WITH {MESSAGES} SELECT episode AS id, count(DISTINCT role) AS roles, string_agg(DISTINCT role, ',' ORDER BY role) AS role_names FROM msg GROUP BY ALL")
+@query("nary_relations", f"WITH {MESSAGES} SELECT episode AS id, count(DISTINCT role) AS roles, string_agg(DISTINCT role, ',' ORDER BY role) AS role_names, array_to_string(list_sort(list_distinct(list(role || '=' || 'message ' || pos))), '|') AS participants FROM msg WHERE role IS NOT NULL GROUP BY ALL")
 def nary_relations(spark, folder):
-    m = said(spark, folder)
+    m = said(spark, folder).where("role is not null")
     heads = m.select(F.col("episode").alias("id")).distinct()
     parts = m.select(F.col("episode").alias("relationship_id"), "role", F.col("pos").cast("long").alias("entity_id")).distinct()
     names = m.select(F.col("pos").cast("long").alias("id")).distinct().withColumn("entity", F.concat(F.lit("message "), F.col("id").cast("string")))
     made = D.nary(heads, parts, names)
-    return made.select("id", F.size("participants").cast("long").alias("roles"), F.array_join(F.array_sort(F.map_keys("participants")), ",").alias("role_names"))
+    return made.select("id", F.size("participants").cast("long").alias("roles"), F.array_join(F.array_sort(F.map_keys("participants")), ",").alias("role_names"), F.array_join(F.array_sort(F.flatten(F.transform(F.map_entries("participants"), lambda x: F.transform(x["value"], lambda n: F.concat(x["key"], F.lit("="), n))))), "|").alias("participants"))
 
 
-@query("beliefs_revised", f"WITH {EDGES}, r AS (SELECT relationship_id AS rel_id, arg_max(target_id, id) AS v FROM relationship_versions WHERE changed_by IS NOT NULL GROUP BY ALL) SELECT e.rel_id, e.s, coalesce(r.v, e.t) AS t FROM e LEFT JOIN r USING (rel_id)")
+@query("beliefs_revised", f"WITH {EDGES}, r AS (SELECT relationship_id AS rel_id, arg_max(target_id, id) AS v FROM relationship_versions WHERE changed_by IS NOT NULL GROUP BY ALL) SELECT e.rel_id, e.s, coalesce(r.v, e.t) AS t, CASE WHEN r.v IS NULL THEN e.c ELSE 0.9 END AS c FROM e LEFT JOIN r USING (rel_id)")
 def beliefs_revised(spark, folder):
     r = table(spark, folder, "relationship_versions").where("changed_by is not null").select(F.col("relationship_id").alias("rel_id"), F.col("target_id").alias("value"), F.lit(0.9).alias("certainty"), F.col("id").alias("at"))
-    return D.revise_beliefs(edges(spark, folder), r)[0].select("rel_id", "s", "t")
+    return D.revise_beliefs(edges(spark, folder), r)[0].select("rel_id", "s", "t", "c")
 
 
-@query("counterfactual_tests")
+def _spread_sql(*columns: str, seed: int = 1) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(columns)}, '{seed}')), 1, 15) AS BIGINT)"
+
+
+@query(
+    "counterfactual_tests",
+    f"""WITH {EDGES}, d AS (SELECT DISTINCT s, r, t FROM e WHERE r IS NOT NULL), m AS (SELECT s, r, lead(t) OVER (PARTITION BY r ORDER BY {_spread_sql("s", "t")}, s, t) AS t FROM d), x AS (SELECT DISTINCT s, r, t FROM m WHERE t IS NOT NULL AND s <> t EXCEPT SELECT s, r, t FROM d)
+SELECT s, r, t FROM x ORDER BY {_spread_sql("s", "r", "t")}, s, r, t LIMIT 50""",
+)
 def counterfactual_tests(spark, folder):
-    return D.counterfactual_tests(edges(spark, folder), 50)
+    return D.counterfactual_tests(edges(spark, folder).where("r is not null"), 50)
 
 
-@query("multi_hop_tests")
+@query(
+    "multi_hop_tests",
+    f"""WITH {EDGES}, {_walks(3)}, n AS (SELECT *, array_to_string(path, '>') AS shown, row_number() OVER (PARTITION BY start, goal ORDER BY hops, path, relations) AS k FROM found)
+SELECT 'How is ' || start || ' related to ' || goal || '?' AS question, goal AS expected FROM n WHERE k <= 5 AND hops >= 2 ORDER BY {_spread_sql("start", "goal", "shown")}, start, goal, shown LIMIT 10""",
+)
 def multi_hop_tests(spark, folder):
     from recallix.operators.graph import simple_paths
 
     return D.path_tests(simple_paths(edges(spark, folder), seeds(spark, folder)), 10).select("question", "expected")
+
+
+@query("text_to_graph_entities", f"WITH {ITEMS}, x AS (" + " UNION ALL ".join(f"SELECT id, lower(unnest(regexp_extract_all(text, {q('(?i)' + p)}, {g}))) AS entity FROM k" for _, p, _ in X.RELATION_PATTERNS for g in (1, 2)) + ") SELECT entity, count(DISTINCT id) AS sources, min(id) AS first_id FROM x GROUP BY ALL")
+def text_to_graph_entities(spark, folder):
+    """The entities that relations in texts name, merged by their lower-cased form."""
+    found = items(spark, folder).select("id", F.explode(X.relations(F.col("text"))).alias("x")).select("id", F.explode(F.array(F.lower("x.subject"), F.lower("x.object"))).alias("entity"))
+    return found.groupBy("entity").agg(F.count_distinct("id").alias("sources"), F.min("id").alias("first_id"))

@@ -273,7 +273,14 @@ def graph_conflicts_by_recency(spark, folder):
     return G.resolve_conflicts(edges(spark, folder), "^knows$", "recency").select("rel_id", "s", "r", "t")
 
 
-@query("graph_search")
+@query(
+    "graph_search",
+    f"""WITH {EDGES}, g AS (SELECT id, entity FROM graph_entities WHERE entity IS NOT NULL), a AS (SELECT id AS qid, entity AS name FROM g WHERE id % 100 = 0), hit AS (SELECT qid, g.id AS seed, entity FROM a JOIN g ON lower(name) = lower(entity)),
+b AS (SELECT seed, t AS node, r, 'outgoing' AS direction, w, c, rel_id FROM e JOIN (SELECT DISTINCT seed FROM hit) ON s = seed UNION ALL SELECT seed, s, r, 'incoming', w, c, rel_id FROM e JOIN (SELECT DISTINCT seed FROM hit) ON t = seed), nb AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY direction DESC, c DESC, w DESC, rel_id) AS k FROM b),
+one AS (SELECT qid, CASE WHEN direction = 'outgoing' THEN concat_ws(' ', hit.entity, r, g.entity) ELSE concat_ws(' ', g.entity, r, hit.entity) END AS text, w AS score FROM hit JOIN nb USING (seed) JOIN g ON g.id = node WHERE k <= 10),
+two AS (SELECT qid, g.entity AS text, 0.4 AS score FROM a JOIN g ON list_contains(regexp_split_to_array(lower(g.entity), '\\s+'), lower(name))), m AS (SELECT qid, text, max(score) AS score FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY ALL)
+SELECT qid, text, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, text) AS rank FROM m) WHERE rank <= 10""",
+)
 def graph_search(spark, folder):
     names = table(spark, folder, "graph_entities").where("entity is not null").select("id", "entity")
     asked = names.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("entity").alias("name"))

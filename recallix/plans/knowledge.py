@@ -86,7 +86,7 @@ def rules_pattern_query(spark, folder):
 @query(
     "ontology_descendants",
     f"""WITH RECURSIVE {EDGES}, h AS (SELECT DISTINCT s AS child, t AS parent FROM e WHERE r = 'part_of' AND s <> t),
-  d AS (SELECT parent AS ancestor, child AS node, 1 AS steps FROM h UNION SELECT d.ancestor, h.child, d.steps + 1 FROM d JOIN h ON h.parent = d.node WHERE d.steps < 8)
+  d AS (SELECT parent AS ancestor, child AS node, 1 AS steps FROM h UNION SELECT d.ancestor, h.child, d.steps + 1 FROM d JOIN h ON h.parent = d.node WHERE d.steps < 60 AND h.child <> d.ancestor)
 SELECT ancestor, node, min(steps) AS steps FROM d WHERE ancestor <> node GROUP BY ALL""",
 )
 def ontology_descendants(spark, folder):
@@ -293,8 +293,15 @@ def entities_linked(spark, folder):
     return S.link_names(e, "id", "entity", alias, e.where("id % 100 = 0").select(F.col("id").alias("qid"), F.upper("entity").alias("name")))
 
 
-@query("rules_why_answers")
+@query(
+    "rules_why_answers",
+    f"""WITH {FACTS}, ob AS (SELECT * FROM f WHERE r = 'located_in'), h AS (
+  SELECT ob.s, ob.r, ob.o, ob.s || ' part_of ' || coalesce(k.o, '?') AS hypothesis, k.s IS NOT NULL AS known FROM ob LEFT JOIN f k ON k.s = ob.s AND k.r = 'part_of'
+  UNION SELECT ob.s, ob.r, ob.o, coalesce(k.s, '?') || ' located_in ' || ob.o, k.s IS NOT NULL FROM ob LEFT JOIN f k ON k.o = ob.o AND k.r = 'located_in'
+), n AS (SELECT *, CAST(round(CASE WHEN known THEN 0.9 ELSE 0.5 END * 0.8, 6) AS DOUBLE) AS confidence FROM h), g AS (SELECT *, row_number() OVER (PARTITION BY s, r, o ORDER BY confidence DESC, hypothesis) AS k FROM n)
+SELECT concat_ws(' ', s, r, o) AS qid, s, r, o, 'proved' AS how, '1 steps' AS support FROM f WHERE r = 'part_of' AND s <> o UNION ALL SELECT concat_ws(' ', s, r, o), s, r, o, 'hypothesis', hypothesis || ' (' || confidence || ')' FROM g WHERE k <= 3""",
+)
 def rules_why_answers(spark, folder):
     facts_ = triples(spark, folder).distinct()
-    asked = facts_.where("r in ('part_of', 'located_in')").withColumn("qid", F.xxhash64("s", "r", "o"))
+    asked = facts_.where("r in ('part_of', 'located_in')").withColumn("qid", F.concat_ws(" ", "s", "r", "o"))
     return R.answer_why(facts_, asked, [R.inherited("located_in", "part_of")], "part_of")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recallix.functions import text as X
 from recallix.operators import memory as M
 from recallix.operators import profiles as P
-from recallix.plans.text import MESSAGES, said, words_sql
+from recallix.plans.text import MESSAGE_MOODS, MESSAGES, said, words_sql
 from recallix.sources.tables import table, utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +33,7 @@ TOKENS = f"greatest(1, {words_sql('content')} * 13 // 10)"
 @query("memory_context", f"WITH {MESSAGES}, s AS (SELECT episode, pos, sum({TOKENS}) OVER (PARTITION BY episode ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM msg) SELECT episode, pos, used FROM s WHERE used <= 60")
 def memory_context(spark, folder):
     rows = said(spark, folder).withColumn("tokens", X.token_estimate(F.col("content")))
-    return M.fill_context(rows, ["episode"], ["pos"], "tokens", 60).select("episode", F.col("pos").cast("long").alias("pos"), "used")
+    return M.fill_context(rows.withColumn("pos", F.col("pos").cast("long")), ["episode"], "pos", "tokens", 60).select("episode", F.col("pos").cast("long").alias("pos"), "used")
 
 
 @query("memory_by_role", f"WITH {MESSAGES} SELECT role, count(*) AS n, sum({TOKENS})::BIGINT AS tokens FROM msg GROUP BY ALL")
@@ -65,8 +65,7 @@ def memory_progressive(spark, folder):
 @query("memory_weights")
 def memory_weights(spark, folder):
     asked = said(spark, folder).where("role = 'user'")
-    one = F.struct("pos", X.query_complexity(F.col("content")).alias("complexity"), X.document_type(F.col("content")).alias("kind"))
-    return M.dynamic_weights(asked.groupBy("episode").agg(F.array_sort(F.collect_list(one)).alias("queries")))
+    return M.dynamic_weights(asked.select("episode", "pos", X.query_complexity(F.col("content")).alias("complexity"), X.document_type(F.col("content")).alias("kind")))
 
 
 @query("session_close", f"WITH {MESSAGES}, b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY episode DESC, pos DESC) AS back FROM msg WHERE session_id IS NOT NULL) SELECT session_id, count(*) AS n, string_agg(left(content, 200), ' | ' ORDER BY back DESC) AS digest FROM b WHERE back <= 20 GROUP BY ALL")
@@ -120,16 +119,25 @@ def _moods(spark, folder):
     return X.with_emotion(rows, "content")
 
 
-@query("mood_trend")
+@query(
+    "mood_trend",
+    f"""WITH {MESSAGE_MOODS}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY episode DESC, pos DESC) AS back FROM mood WHERE role = 'user' AND user_id IS NOT NULL QUALIFY back <= 20), r AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS size FROM l), x AS (SELECT *, size - back AS place, size - back >= size // 2 AS late FROM r),
+b AS (SELECT user_id, round(avg(valence), 3) AS avg_valence, round(avg(arousal), 3) AS avg_arousal, avg(valence) FILTER (late) - avg(valence) FILTER (NOT late) AS d, count(*) AS samples FROM x GROUP BY ALL), c AS (SELECT user_id, primary_emotion, count(*) AS n, min(place) AS first FROM x GROUP BY ALL), t AS (SELECT user_id, primary_emotion AS dominant FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) AS k FROM c) WHERE k = 1)
+SELECT user_id, avg_valence, avg_arousal, dominant, CASE WHEN samples < 4 THEN 'stable' WHEN d > 0.15 THEN 'rising' WHEN d < -0.15 THEN 'falling' ELSE 'stable' END AS direction, samples FROM b JOIN t USING (user_id)""",
+)
 def mood_trend(spark, folder):
     m = _moods(spark, folder).select("user_id", "episode", "pos", "emotion.*")
     return P.mood_trend(m, "user_id", [F.desc("episode"), F.desc("pos")])
 
 
-@query("mood_shifts")
+@query(
+    "mood_shifts",
+    f"""WITH {MESSAGE_MOODS}, m AS (SELECT * FROM mood WHERE role = 'user' AND user_id IS NOT NULL), s AS (SELECT user_id, episode, pos, primary_emotion, count(*) OVER b AS seen, lag(primary_emotion) OVER (PARTITION BY user_id ORDER BY episode, pos) AS from_emotion, valence - avg(valence) OVER b AS dv, arousal - avg(arousal) OVER b AS da FROM m WINDOW b AS (PARTITION BY user_id ORDER BY episode, pos ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING))
+SELECT user_id, episode, pos, from_emotion, primary_emotion AS to_emotion, round(dv, 3) AS valence_delta, round(da, 3) AS arousal_delta FROM s WHERE seen >= 2 AND (abs(dv) > 0.3 OR abs(da) > 0.3)""",
+)
 def mood_shifts(spark, folder):
     m = _moods(spark, folder).select("user_id", "episode", "pos", "emotion.*")
-    return P.mood_shifts(m, "user_id", ["episode", "pos"]).select("user_id", "episode", "pos", "from_emotion", F.col("primary").alias("to_emotion"), "valence_delta", "arousal_delta")
+    return P.mood_shifts(m, "user_id", ["episode", "pos"]).select("user_id", "episode", F.col("pos").cast("long").alias("pos"), "from_emotion", F.col("primary").alias("to_emotion"), "valence_delta", "arousal_delta")
 
 
 EVENT_MOODS = "m AS (SELECT user_id, event_id, value / 500.0 AS valence, -value / 500.0 AS arousal, event_type AS primary_ FROM events)"
@@ -155,7 +163,13 @@ def event_shifts(spark, folder):
     return P.mood_shifts(e, "user_id", ["event_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("shifts"))
 
 
-@query("relationship_states")
+STATES = f"""{MESSAGE_MOODS}, g AS (SELECT user_id, 0.005 + CASE WHEN role = 'user' THEN CASE WHEN valence < -0.3 AND intensity > 0.5 THEN 0.02 ELSE 0.0 END + CASE WHEN primary_emotion IN ('trust', 'joy') THEN 0.01 ELSE 0.0 END + CASE WHEN w > 50 THEN 0.005 WHEN w > 20 THEN 0.002 ELSE 0.0 END + CASE WHEN contains(content, '?') THEN 0.003 ELSE 0.0 END ELSE 0.0 END AS d
+  FROM (SELECT *, len(string_split(trim(regexp_replace(content, '\\s+', ' ', 'g')), ' ')) AS w FROM mood WHERE user_id IS NOT NULL)), s1 AS (SELECT user_id, count(*) AS interactions, least(1.0, round(sum(d), 9))::DOUBLE AS trust FROM g GROUP BY ALL),
+s2 AS (SELECT *, CASE WHEN interactions <= 200 THEN interactions / 200.0 - 0.095 + 0.095 * pow(0.95, interactions) ELSE 1 - (1 - (1 - 0.095 + 0.095 * pow(0.95, 200))) * pow(0.95, interactions - 200) END AS comfort FROM s1),
+states AS (SELECT user_id, interactions, trust, comfort, 0.6 * trust + 0.4 * comfort AS rapport, CASE WHEN interactions >= 100 AND trust >= 0.8 THEN 'deep' WHEN interactions >= 40 AND trust >= 0.55 THEN 'established' WHEN interactions >= 15 AND trust >= 0.3 THEN 'developing' WHEN interactions >= 5 AND trust >= 0.15 THEN 'acquaintance' ELSE 'introduction' END AS stage FROM s2)"""
+
+
+@query("relationship_states", f"WITH {STATES} SELECT user_id, interactions, round(trust, 6) AS trust, round(comfort, 6) AS comfort, round(rapport, 6) AS rapport, stage FROM states")
 def relationship_states(spark, folder):
     m = X.with_emotion(said(spark, folder).where("user_id is not null"), "content")
     return P.relationships(m, "user_id").select("user_id", "interactions", F.round("trust", 6).alias("trust"), F.round("comfort", 6).alias("comfort"), F.round("rapport", 6).alias("rapport"), "stage")
@@ -203,7 +217,14 @@ def growth_bins(spark, folder):
     return bins.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("bin")))  # ten rows
 
 
-@query("planner_costs")
+def _planner_sql() -> str:
+    from recallix.plans.graph import _propagation
+
+    return f"""{_propagation(4)}, ix AS (SELECT DISTINCT r1 AS r FROM (SELECT a.r AS r1, b.r AS r2 FROM e a JOIN e b ON a.t = b.s WHERE a.s <> b.t GROUP BY ALL HAVING count(*) >= 10))
+SELECT e.r, CASE WHEN a.community = b.community THEN 0.3 WHEN ix.r IS NOT NULL THEN 0.5 ELSE 0.7 END::DOUBLE AS cost, count(*) AS n FROM e JOIN l4 a ON a.node = s JOIN l4 b ON b.node = t LEFT JOIN ix ON ix.r = e.r GROUP BY ALL"""
+
+
+@query("planner_costs", _planner_sql())
 def planner_costs(spark, folder):
     """Costs of looking up each current edge: 0.3 within a component, 0.7 across, 0.5 where its hop pattern is indexed."""
     from recallix.operators import graph as G

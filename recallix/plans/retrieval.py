@@ -172,7 +172,13 @@ def evaluate_path_order(spark, folder):
     return d.select("doc_id", F.round(M.order_accuracy(F.col("a"), F.col("b")), 6).alias("order_accuracy"))
 
 
-@query("retrieve_context")
+@query(
+    "retrieve_context",
+    rf"""WITH {FUSED}, w AS (SELECT DISTINCT id, confidence, unnest(regexp_extract_all(lower(coalesce(subject, '') || ' ' || coalesce(predicate, '') || ' ' || coalesce(object, '')), '[\p{{L}}\p{{N}}]+')) AS term FROM fact_triples), qa AS (SELECT DISTINCT qid, unnest({TOKENS}) AS term FROM ask),
+hk AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY confidence DESC NULLS LAST, id) AS k FROM (SELECT DISTINCT qid, id, confidence FROM qa JOIN w USING (term))) WHERE k <= 5),
+u AS (SELECT qid, text, 'hybrid' AS source, score, 0 AS i FROM fr JOIN knowledge_items USING (id) WHERE rank <= 10 AND text IS NOT NULL UNION ALL SELECT qid, concat_ws(' ', subject, predicate, object), 'facts', coalesce(confidence, 0.5) * 1.5, 1 FROM hk JOIN fact_triples USING (id))
+SELECT qid, text, source, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, text ORDER BY i, score DESC) AS n FROM u) WHERE n = 1 AND round(score, 6) >= 0.2""",
+)
 def retrieve_context(spark, folder):
     """Hybrid hits and facts by key words as one list for each query: texts once, facts boosted by 0.5, 0.2 at least."""
     a, b = asked(spark, folder), items(spark, folder)

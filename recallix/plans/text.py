@@ -60,6 +60,37 @@ def count_sql(t: str, words: list[str]) -> str:
     return "(" + " + ".join(f"contains({t}, {q(w)})::INT" for w in words) + ")"
 
 
+@query("text_ngram_entities", f"WITH {ITEMS}, w AS (SELECT id, list_filter(string_split(trim(regexp_replace(translate(lower(text), {q(',.:;!?()[]{}<>' + chr(34) + chr(39) + '`~/' + chr(92) + '|@#$%^&*_+-=')}, repeat(' ', 35)), '\\s+', ' ', 'g')), ' '), lambda x: length(x) > 1 AND x NOT IN ({', '.join(q(x) for x in X.ENTITY_STOPS)})) AS w FROM k) SELECT id, md5(array_to_string(list_sort(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))), ',')) AS digest FROM w")
+def text_ngram_entities(spark, folder):
+    return items(spark, folder).select("id", F.md5(F.array_join(X.ngram_entities(F.col("text")), ",")).alias("digest"))
+
+
+CUSTOM_RULES = {"add": [("shouting", r"[A-Z]{6,}", "warning", None), ("digits", r"\d{4,}", "warning", "[NUMBER]")], "remove": ["phone", "credit_card"], "blocked": [r"\bcomplaint\b"]}
+
+
+def _custom_safety_sql() -> str:
+    rules = X.safety_rules(**CUSTOM_RULES)
+    fired = ", ".join(f"CASE WHEN regexp_matches(text, {q(p)}) THEN '{n}' END" for n, p, _, _ in rules)
+    shown = "text"
+    for _, p, _, r in rules:
+        shown = f"regexp_replace({shown}, {q(p)}, {q(r)}, 'g')" if r else shown
+    blocked = ", ".join(f"'{n}'" for n, _, level, _ in rules if level == "blocked")
+    return f"WITH {ITEMS}, f AS (SELECT id, list_filter([{fired}], lambda x: x IS NOT NULL) AS rules, {shown} AS text FROM k) SELECT id, CASE WHEN list_has_any(rules, [{blocked}]) THEN 'blocked' WHEN len(rules) > 0 THEN 'warning' ELSE 'safe' END AS level, array_to_string(rules, ',') AS rules, md5(text) AS redacted FROM f"
+
+
+@query("text_safety_custom", _custom_safety_sql())
+def text_safety_custom(spark, folder):
+    safe = X.safety(F.col("text"), X.safety_rules(**CUSTOM_RULES))
+    return items(spark, folder).select("id", safe.alias("s")).select("id", "s.level", F.array_join("s.rules", ",").alias("rules"), F.md5("s.text").alias("redacted"))
+
+
+@query("text_safety_condition", f"WITH {ITEMS} SELECT id, CASE WHEN length(text) > 120 THEN 'blocked' ELSE 'safe' END AS level FROM k")
+def text_safety_condition(spark, folder):
+    """A rule that is a condition instead of a pattern."""
+    rules = X.safety_rules(base=[], add=[("too_long", F.length("text") > 120, "blocked", None)])
+    return items(spark, folder).select("id", X.safety(F.col("text"), rules)["level"].alias("level"))
+
+
 @query("text_tokens", f"WITH {ITEMS} SELECT id, {words_sql('text')}::INT AS words, greatest(1, {words_sql('text')} * 13 // 10)::INT AS tokens FROM k")
 def text_tokens(spark, folder):
     return items(spark, folder).select("id", X.word_count(F.col("text")).alias("words"), X.token_estimate(F.col("text")).alias("tokens"))
@@ -139,18 +170,16 @@ def text_safety(spark, folder):
     return items(spark, folder).select("id", X.safety(F.col("text")).alias("s")).select("id", "s.level", F.array_join("s.rules", ",").alias("rules"), F.md5("s.text").alias("redacted"))
 
 
-@query(
-    "text_personal_facts",
-    """SELECT c_custkey AS id, unnest(['name', 'location', 'preference']) AS type, unnest([c_name, 'nation ' || c_nationkey, lower(c_mktsegment) || ' goods']) AS value FROM customer""",
-)
-def text_personal_facts(spark, folder):
-    c = table(spark, folder, "customer")
-    text = F.concat(F.lit("My name is "), F.col("c_name"), F.lit(". I live in nation "), F.col("c_nationkey").cast("string"), F.lit("! I really like "), F.lower("c_mktsegment"), F.lit(" goods."))
-    return c.select(F.col("c_custkey").alias("id"), F.explode(X.personal_facts(text)).alias("f")).select("id", "f.type", "f.value")
+WRITTEN = f"{ITEMS}, {MESSAGES}, wr AS (SELECT 'knowledge_items' AS src, id AS row_id, 0 AS pos, text FROM k UNION ALL SELECT 'episodes', episode, pos, content FROM msg)"
+
 
+def _personal_facts_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT src, row_id, pos, {i * 10 + j} AS o, '{kind}' AS type, unnest(regexp_extract_all(text, {q('(?i)' + p)}, 1)) AS v FROM wr" for i, (kind, patterns) in enumerate(X.PERSONAL_FACTS) for j, p in enumerate(patterns))
+    return f"WITH {WRITTEN}, f AS ({parts}) SELECT src, row_id, pos, type, trim(v) AS value FROM f WHERE trim(v) <> '' QUALIFY row_number() OVER (PARTITION BY src, row_id, pos, lower(trim(v)) ORDER BY o) = 1"
 
-@query("text_personal_facts_written")
-def text_personal_facts_written(spark, folder):
+
+@query("text_personal_facts", _personal_facts_sql())
+def text_personal_facts(spark, folder):
     return written(spark, folder).select("src", "row_id", "pos", F.explode(X.personal_facts(F.col("text"))).alias("f")).select("src", "row_id", "pos", "f.type", "f.value")
 
 
@@ -159,35 +188,43 @@ def text_personal_hint(spark, folder):
     return said(spark, folder).select("episode", F.col("pos").cast("long").alias("pos"), X.contains_personal_fact(F.col("content")).alias("personal"))
 
 
-def _emotion_sql() -> str:
-    pairs = [(w, e, v) for e, words in X.EMOTION_WORDS.items() for w, v in zip(words.split()[::2], words.split()[1::2])]
-    lexicon = ", ".join(f"({q(w)}, '{e}', {v}::DOUBLE)" for w, e, v in pairs)
-    order = "CASE e " + " ".join(f"WHEN '{e}' THEN {i}" for i, e in enumerate(X.EMOTIONS)) + " END"
-    va = "CASE e " + " ".join(f"WHEN '{e}' THEN {v}" for e, (v, _) in X.VALENCE_AROUSAL.items()) + " END"
-    return f"""WITH lex(w, e, v) AS (VALUES {lexicon}), d AS (SELECT doc_id, text, lower(text) AS low FROM documents WHERE text IS NOT NULL AND lang = 'en' AND NOT regexp_matches(text, '[^ -~]') AND length(regexp_replace(text, '[^A-Z]', '', 'g')) <= 0.5 * length(text) AND NOT contains(text, '!')
-), t AS (SELECT doc_id, unnest(regexp_extract_all(low, '[a-z0-9_'']+')) AS w FROM d), h AS (SELECT doc_id, e, sum(v) AS v, count(*) AS n FROM t JOIN lex USING (w) GROUP BY ALL
-), b AS (SELECT doc_id, regexp_matches(low, {q(X.NEGATORS)}) AS neg, 1.0 + 0.15 * len(regexp_extract_all(low, {q(X.INTENSIFIERS)})) AS boost, contains(low, 'looking forward')::INT * 0.7 + contains(low, 'can''t wait')::INT * 0.8 AS phrase FROM d
-), s AS (SELECT doc_id, CASE WHEN neg AND e IN ('joy', 'trust', 'anticipation') THEN 'sadness' ELSE e END AS e, sum(CASE WHEN NOT neg THEN v WHEN e IN ('joy', 'trust', 'anticipation') THEN v * 0.5 ELSE v * 0.3 END * boost)::DOUBLE AS v, sum(n) AS n FROM h JOIN b USING (doc_id) GROUP BY ALL
-), c AS (SELECT doc_id, sum(n) AS n FROM s GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(v, 9) DESC, {order}) AS k FROM s)
-SELECT d.doc_id, coalesce(e, 'neutral') AS primary_emotion, round(CASE WHEN v IS NULL THEN 0.0 ELSE least(v / 3.0, 1.0) END, 6)::DOUBLE AS intensity, round(CASE WHEN v IS NULL THEN 0.0 ELSE {va} * least(v / 3.0, 1.0) END, 6)::DOUBLE AS valence, CASE WHEN e IS NULL THEN 0.5 ELSE round(least(0.5 + c.n * 0.1, 0.9), 6) END::DOUBLE AS confidence
-FROM d LEFT JOIN p ON p.doc_id = d.doc_id AND k = 1 LEFT JOIN c ON c.doc_id = d.doc_id"""
-
-
-@query("text_emotion", _emotion_sql())
+def emotion_sql(rows: str) -> str:
+    """SQL: CTEs up to emo (rid, primary_emotion, intensity, valence, arousal, confidence) of rows, a query for (rid, t)."""
+    lexicon = ", ".join(f"({q(w)}, '{e}', {v}::DOUBLE)" for e, words in X.EMOTION_WORDS.items() for w, v in words.items())
+    case = lambda k: "CASE of_ " + " ".join(f"WHEN '{e}' THEN {va[k]}" for e, va in X.VALENCE_AROUSAL.items()) + " END"
+    times = {m: f"((length(t) - length(replace(t, {q(m)}, ''))) // {len(m)})" for m in X.EMOJI}
+    totals = ", ".join(f"coalesce(sum(v) FILTER (e = '{e}'), 0.0) AS v_{e}" for e in X.EMOTIONS)
+    scores = []
+    for e in X.EMOTIONS:
+        flipped = "(v_joy + v_trust + v_anticipation) * 0.5" if e == "sadness" else "0.0"
+        damped = "0.0" if e in ("joy", "trust", "anticipation") else f"v_{e} * 0.3"
+        score = f"CASE WHEN neg THEN {damped} + {flipped} ELSE v_{e} END * boost"
+        score += "".join(f" + contains(low, {q(p)})::INT * {v} * boost" for p, (of, v) in X.EMOTION_PHRASES.items() if of == e)
+        score += "".join(f" + {v} * least({times[m]}, 3)" for m, (of, v) in X.EMOJI.items() if of == e)
+        scores.append(f"({score}{' + loud * 0.3' if e == 'surprise' else ''})::DOUBLE")
+    top = ", ".join(f"{{'v': round({x}, 9), 'i': {-i}, 'e': '{e}'}}" for i, (x, e) in enumerate(zip(scores, X.EMOTIONS)))
+    count = " + ".join(["hits", *times.values(), "loud", *[f"contains(low, {q(p)})::INT" for p in X.EMOTION_PHRASES]])
+    return f"""lex(w, e, v) AS (VALUES {lexicon}), er AS ({rows}), e0 AS (SELECT rid, coalesce(t, '') AS t, lower(coalesce(t, '')) AS low FROM er),
+e1 AS (SELECT rid, unnest(regexp_extract_all(low, '[a-z0-9_\'\']+')) AS w FROM e0), e2 AS (SELECT rid, count(*) AS hits, {totals} FROM e1 JOIN lex USING (w) GROUP BY rid),
+e3 AS (SELECT e0.*, coalesce(hits, 0) AS hits, {", ".join(f"coalesce(v_{e}, 0.0) AS v_{e}" for e in X.EMOTIONS)}, regexp_matches(low, {q(X.NEGATORS)}) AS neg, 1.0 + 0.15 * len(regexp_extract_all(low, {q(X.INTENSIFIERS)})) AS boost, (length(t) - length(replace(t, '!', '')) >= 3)::INT AS loud FROM e0 LEFT JOIN e2 USING (rid)),
+e4 AS (SELECT rid, list_max([{top}]) AS top, {count} AS n, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) / greatest(length(t), 1)::DOUBLE > 0.5 AND length(t) > 5 AS shouted FROM e3),
+e5 AS (SELECT rid, n, CASE WHEN shouted AND top.v > 0 THEN top.v * 1.3 WHEN shouted THEN 0.3 ELSE top.v END AS value, CASE WHEN shouted AND top.v <= 0 THEN 'anger' ELSE top.e END AS of_ FROM e4),
+emo AS (SELECT rid, CASE WHEN n > 0 AND value > 0 THEN of_ ELSE 'neutral' END AS primary_emotion, CASE WHEN n > 0 AND value > 0 THEN round(least(value / 3.0, 1.0), 6) ELSE 0.0 END AS intensity,
+  CASE WHEN n > 0 AND value > 0 THEN round({case(0)} * least(value / 3.0, 1.0), 6) ELSE 0.0 END AS valence, CASE WHEN n > 0 AND value > 0 THEN round({case(1)} * least(value / 3.0, 1.0), 6) ELSE 0.0 END AS arousal, CASE WHEN n > 0 AND value > 0 THEN round(least(0.5 + n * 0.1, 0.9), 6) ELSE 0.5 END::DOUBLE AS confidence FROM e5)"""
+
+
+@query("text_emotion", f"WITH {emotion_sql('SELECT doc_id AS rid, text AS t FROM documents')} SELECT rid AS doc_id, primary_emotion, intensity, valence, arousal, confidence FROM emo")
 def text_emotion(spark, folder):
-    d = table(spark, folder, "documents").where(r"text is not null and lang = 'en' and not text rlike '[^ -~]' and length(regexp_replace(text, '[^A-Z]', '')) <= 0.5 * length(text) and not contains(text, '!')").select("doc_id", "text")
-    return X.with_emotion(d, "text").select("doc_id", F.col("emotion.primary").alias("primary_emotion"), "emotion.intensity", "emotion.valence", "emotion.confidence")
-
-
-@query("text_emotion_documents")
-def text_emotion_documents(spark, folder):
     d = table(spark, folder, "documents").select("doc_id", "text")
     return X.with_emotion(d, "text").select("doc_id", F.col("emotion.primary").alias("primary_emotion"), "emotion.intensity", "emotion.valence", "emotion.arousal", "emotion.confidence")
 
 
-@query("text_emotion_messages")
+MESSAGE_MOODS = f"{MESSAGES}, {emotion_sql('SELECT episode * 1000 + pos AS rid, content AS t FROM msg')}, mood AS (SELECT msg.*, emo.* FROM msg JOIN emo ON rid = episode * 1000 + pos)"
+
+
+@query("text_emotion_messages", f"WITH {MESSAGE_MOODS} SELECT episode, pos, primary_emotion AS \"primary\", intensity, valence, arousal, confidence FROM mood")
 def text_emotion_messages(spark, folder):
-    return X.with_emotion(said(spark, folder).select("episode", "pos", "content"), "content").select("episode", "pos", "emotion.*")
+    return X.with_emotion(said(spark, folder).select("episode", F.col("pos").cast("long").alias("pos"), "content"), "content").select("episode", "pos", "emotion.*")
 
 
 SENTENCES = r"unnest(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))"

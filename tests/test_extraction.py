@@ -76,9 +76,9 @@ def test_emotion_of_all_documents(spark, small, tmp_path):
     texts = [("so happy 😭😭😭", "de"), ("I AM SO ANGRY AND FURIOUS", "EN"), ("Happy! Happy! Happy!", None), ("Café: I am very happy", "en_US"), ("no words of mood", "fr"), (None, "en")]
     rows = [(i, t, x) for i, (t, x) in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.primary_emotion for r in catalogue.QUERIES["text_emotion_documents"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.primary_emotion for r in catalogue.QUERIES["text_emotion"](spark, str(tmp_path)).collect()}
     assert got == {0: "sadness", 1: "anger", 2: "joy", 3: "joy", 4: "neutral", 5: "neutral"}
-    assert catalogue.QUERIES["text_emotion_documents"](spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()
+    assert catalogue.QUERIES["text_emotion"](spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()
 
 
 def test_facts_of_written_texts(spark, tmp_path):
@@ -86,6 +86,6 @@ def test_facts_of_written_texts(spark, tmp_path):
     spark.createDataFrame([(7, "s", "u", json.dumps([{"id": i, "role": "user", "content": x, "timestamp": 1.0} for i, x in enumerate(said)])), (8, "s", "u", "[{")], "id bigint, session_id string, user_id string, messages string").write.parquet(str(tmp_path / "episodes.parquet"))
     spark.createDataFrame([(1, "Call me Bea!\nnow"), (2, "note\n📚 Bo likes tea"), (3, "What is the connection between Ann Lee and Bo?"), (4, None)], "id bigint, text string").write.parquet(str(tmp_path / "knowledge_items.parquet"))
     got = lambda name: {tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
-    assert got("text_personal_facts_written") == {("episodes", 7, 0, "name", "Ann"), ("knowledge_items", 1, 0, "name", "Bea")}
-    assert got("extract_marked_facts_written") == {("episodes", 7, 1, "Ann", "knows", "Bo"), ("knowledge_items", 2, 0, "Bo", "likes", "tea")}
-    assert got("extract_entity_pairs_written") == {("episodes", 7, 2, "cats", "dogs related"), ("knowledge_items", 3, 0, "Ann Lee", "Bo")}
+    assert got("text_personal_facts") == {("episodes", 7, 0, "name", "Ann"), ("knowledge_items", 1, 0, "name", "Bea")}
+    assert got("extract_marked_facts") == {("episodes", 7, 1, "Ann", "knows", "Bo"), ("knowledge_items", 2, 0, "Bo", "likes", "tea")}
+    assert got("extract_entity_pairs") == {("episodes", 7, 2, "cats", "dogs related"), ("knowledge_items", 3, 0, "Ann Lee", "Bo")}

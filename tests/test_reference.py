@@ -150,7 +150,7 @@ def test_memory(spark):
     assert Mem.optimal_shares(0.5, "text", False) == pytest.approx((0.25, 0.35, 0.4))
     assert Mem.allocate((0.25, 0.35, 0.4), 10_000) == (2500, 3500, 4000)
     rows = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 3, 1)], "k int, pos int, tokens int")
-    assert [r.pos for r in Mem.fill_context(rows, ["k"], ["pos"], "tokens", 11).collect()] == [1, 2]
+    assert [r.pos for r in Mem.fill_context(rows, ["k"], "pos", "tokens", 11).collect()] == [1, 2]
 
 
 def test_profiles(spark):
