@@ -127,7 +127,7 @@ def to_instants(df: DataFrame, text: str, source: str, seq: str, profiles: DataF
     names = {r[0] for r in own.select("__zone").where("__zone is not null").distinct().limit(1001).collect()} | ({unknown} if unknown else set())
     if len(names) > 1001:
         raise ValueError("more than 1,000 zones")
-    parsed = parse(df.join(own, df[source] == own["__ps"], "left"), text, "__order")
+    parsed = checkpoint(parse(df.join(own, df[source] == own["__ps"], "left"), text, "__order"))  # costs most, and is read three times
     asked = parsed if guess_undeclared else parsed.where("__zone is not null or __us is not null")
     rated = violations(asked, source, seq, sorted(names), stream, per_bucket).join(own, F.col("source") == F.col("__ps"), "left")
     first = F.coalesce("__zone", F.lit(unknown))
