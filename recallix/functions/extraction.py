@@ -78,6 +78,18 @@ def reply_scores(reply: Column) -> Column:
     return F.from_json(F.regexp_extract(reply, r"(?s)(\[.*\])", 1), "array<struct<item: int, score: double>>")
 
 
+def reply_emotion(reply: Column, other: Column) -> Column:
+    """A struct like `other` (an emotion) from the JSON object of a model's reply, fenced or not; other where it has none.
+
+    Fields the reply leaves out are 0, confidence 0.5.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.trim(reply), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    told = F.from_json(plain, "primary_emotion string, intensity double, valence double, arousal double, confidence double")
+    part = lambda name, empty=0.0: F.coalesce(told[name], F.lit(empty)).alias(name)
+    own = F.struct(told["primary_emotion"].alias("primary"), part("intensity"), part("valence"), part("arousal"), part("confidence", 0.5))
+    return F.when(told["primary_emotion"].isNotNull(), own).otherwise(other)
+
+
 def reply_or(reply: Column, other: Column, most: float = 1.1) -> Column:
     """A model's summary if it is there and at most 1.1 times as long as the other one, else the other one."""
     return F.when(reply.isNotNull() & (F.trim(reply) != "") & (F.length(reply) <= F.length(other) * most), reply).otherwise(other)

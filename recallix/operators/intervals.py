@@ -38,7 +38,7 @@ def _coalesced(pieces: DataFrame, within: list[str]) -> DataFrame:
     return numbered.groupBy(*within, "__island").agg(F.min("__s").alias("__s"), F.max("__e").alias("__e")).drop("__island")
 
 
-def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, base: int = 256) -> DataFrame:
+def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, base: int = 64) -> DataFrame:
     """For each key the maximal continuous periods and the gaps between two of them.
 
     start and end are bigint columns in any one unit; intervals are half-open, a null bound is open. Returns the

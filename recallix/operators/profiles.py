@@ -5,6 +5,9 @@ Histories of a user are summed or ranked, never gathered: recurrences have close
 
 from __future__ import annotations
 
+import functools
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,3 +125,20 @@ def profile_fold(facts: DataFrame, key: str) -> DataFrame:
 def aggregate_runs(runs: DataFrame, kind: str, took: str) -> DataFrame:
     """(kind, n, total, mean, least, most): a profile of timed runs."""
     return runs.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.sum(took).alias("total"), F.avg(took).alias("mean"), F.min(took).alias("least"), F.max(took).alias("most"))
+
+
+def profiled(runs: list[tuple[str, float, float]], name: str | None = None):
+    """A decorator that notes (name, seconds since 1970, seconds taken) of each call in `runs`; see aggregate_runs."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def timed(*args, **kwargs):
+            at, began = time.time(), time.perf_counter()
+            try:
+                return f(*args, **kwargs)
+            finally:
+                runs.append((name or f.__name__, at, time.perf_counter() - began))
+
+        return timed
+
+    return wrap

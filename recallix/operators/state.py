@@ -54,8 +54,8 @@ def evolve(state: DataFrame, rules: DataFrame, key: str, met: Column) -> DataFra
     """
     hit = state.crossJoin(F.broadcast(rules)).where(met)  # a few rules each
     fired = hit.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "name"))), lambda x: x["name"]).alias("fired"))
-    effects = last_wins(hit.select(key, "order", F.explode("effect").alias("k", "v")), [key, "k"], ["order"], [])
-    return fired.join(effects.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("overrides")), key, "left")
+    effects = last_wins(hit.select(key, "order", F.explode("effect").alias("__k", "__v")), [key, "__k"], ["order"], [])
+    return fired.join(effects.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__k", "__v")))).alias("overrides")), key, "left")
 
 
 # --- ontology ----------------------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from recallix.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def p1_found(spark: SparkSession, folder: str, base: int = 256) -> DataFrame:
+def p1_found(spark: SparkSession, folder: str, base: int = 64) -> DataFrame:
     """Periods and gaps of each subject and predicate of temporal_facts.
 
     A bound that is text but no time makes its row no interval; a null bound is open.

@@ -166,7 +166,13 @@ def evaluate_paths(spark, folder):
     return d.select("doc_id", F.round(M.path_overlap(F.col("a"), F.col("b")), 6).alias("overlap"), F.round(M.hop_accuracy(F.size("a"), F.size("b")), 6).alias("hop_accuracy"))
 
 
-@query("evaluate_path_order")
+@query(
+    "evaluate_path_order",
+    r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(tgt_text), '[\p{L}\p{N}]+') AS b FROM documents WHERE text IS NOT NULL AND tgt_text IS NOT NULL),
+l AS (SELECT doc_id, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda x: 0::BIGINT) AS best FROM d
+  UNION ALL SELECT doc_id, a, b, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(best[k], CASE WHEN k > 1 AND a[i + 1] = b[k - 1] THEN best[k - 1] + 1 ELSE 0 END)))) FROM l WHERE i < len(a))
+SELECT doc_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(best[len(b) + 1] / greatest(len(a), len(b))::DOUBLE, 6) END::DOUBLE AS order_accuracy FROM l WHERE i = len(a)""",
+)
 def evaluate_path_order(spark, folder):
     d = table(spark, folder, "documents").where("text is not null and tgt_text is not null").select("doc_id", R.terms(F.col("text")).alias("a"), R.terms(F.col("tgt_text")).alias("b"))
     return d.select("doc_id", F.round(M.order_accuracy(F.col("a"), F.col("b")), 6).alias("order_accuracy"))

@@ -23,7 +23,8 @@ from recallix.plans.memory import SESSIONS, STATES, TOKENS, _sessions, relations
 from recallix.plans.retrieval import ASKED, BM25, TOKENS as TERMS, asked
 from recallix.plans.retrieval import retrieve_bm25, retrieve_hybrid, retrieve_keyword, retrieve_dense
 from recallix.plans.retrieval import SQL as RETRIEVAL_SQL
-from recallix.plans.text import MESSAGES, items, q, said
+from recallix.plans.text import MESSAGES, any_sql, q, said
+from recallix.sources.schema import conform
 from recallix.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +99,13 @@ def temporal_closed(spark, folder):
     return S.update_where(table(spark, folder, "temporal_facts"), (F.col("source") == "metro_feed") & F.col("valid_until").isNull(), {"valid_until": F.lit("2024-01-01")}).select("id", "valid_until")
 
 
+@query("schema_conformed", "SELECT id, text AS entity, 'unknown' AS entity_type, confidence, timestamp, 1::INT AS version, NULL AS metadata FROM knowledge_items")
+def schema_conformed(spark, folder):
+    """Items as rows of the table of entities: its columns and types, defaults for what they lack."""
+    rows = table(spark, folder, "knowledge_items").withColumn("entity", F.col("text")).withColumn("timestamp", F.col("timestamp").cast("string"))
+    return conform(rows, "graph_entities", {"version": 1, "entity_type": "unknown"}).select("id", "entity", "entity_type", "confidence", "timestamp", "version", "metadata")
+
+
 # --- users and personas ------------------------------------------------------------------------------------
 
 USERS = "u AS (SELECT user_id, arg_max(title, id) FILTER (title <> '') AS display_name, max(id) AS at, min(id) AS created FROM episodes WHERE user_id IS NOT NULL GROUP BY ALL)"
@@ -533,6 +541,24 @@ def retrieve_documents(spark, folder):
     return made.select("qid", "d.page_content", F.col("d.metadata")["id"].alias("doc"), "rank")
 
 
+@query("reasoning_answers", f"WITH k AS ({RETRIEVAL_SQL['retrieve_keyword']}), {ASKED}, p AS (SELECT qid, CASE " + " ".join(f"WHEN {any_sql('lower(text)', w)} THEN '{n}'" for n, w in X.PLANS) + " ELSE 'generic' END AS template FROM (SELECT DISTINCT qid, text FROM ask WHERE text IS NOT NULL)) SELECT p.qid, template, count(k.id) AS steps, round(coalesce(avg(k.confidence), 0.0), 6)::DOUBLE AS confidence FROM p LEFT JOIN k ON k.qid = p.qid GROUP BY ALL")
+def reasoning_answers(spark, folder):
+    """Each question's plan, the facts found for it as steps, and their mean confidence as that of the answer."""
+    plan = asked(spark, folder).where("text is not null").select("qid", X.query_plan(F.col("text")).alias("template"))
+    facts = retrieve_keyword(spark, folder).groupBy("qid").agg(F.count(F.lit(1)).alias("steps"), F.avg("confidence").alias("c"))
+    return plan.join(facts, "qid", "left").select("qid", "template", F.coalesce("steps", F.lit(0)).alias("steps"), F.round(F.coalesce("c", F.lit(0.0)), 6).alias("confidence"))
+
+
+@query("replies_emotion", "SELECT id, CASE WHEN importance > 0.5 THEN 'joy' ELSE 'neutral' END AS emotion, CASE WHEN importance > 0.5 THEN importance ELSE 0.0 END AS intensity FROM episodes WHERE importance IS NOT NULL")
+def replies_emotion(spark, folder):
+    """A model's JSON where it is one (here fenced), the word list's emotion where it isn't."""
+    fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.lit("joy").alias("primary_emotion"), F.col("importance").alias("intensity"))), F.lit("\n```"))
+    reply = F.when(F.col("importance") > 0.5, fenced).otherwise("I can't tell.")
+    rows = table(spark, folder, "episodes").where("importance is not null").select("id", reply.alias("reply"), F.lit("").alias("said"))
+    own = X.with_emotion(rows, "said")
+    return own.select("id", E.reply_emotion(F.col("reply"), F.col("emotion")).alias("e")).select("id", F.col("e.primary").alias("emotion"), "e.intensity")
+
+
 @query("replies_importance", f"WITH {MESSAGES} SELECT episode, pos, coalesce(try_cast(nullif(regexp_extract(content, '(0\\.\\d+)', 1), '') AS DOUBLE), 0.5) AS importance FROM msg WHERE role = 'assistant'")
 def replies_importance(spark, folder):
     return said(spark, folder).where("role = 'assistant'").select("episode", F.col("pos").cast("long").alias("pos"), E.reply_importance(F.col("content")).alias("importance"))

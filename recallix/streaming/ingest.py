@@ -5,7 +5,7 @@ Batch and stream share their expressions, so a stream over finished input gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +62,27 @@ def running_trust(messages: DataFrame, key: str) -> DataFrame:
     return messages.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, interactions bigint, trust double", "interactions bigint, trust double", "update", GroupStateTimeout.NoTimeout)
 
 
+def emit(stream: DataFrame, kind: str, handlers: dict[str, list[Callable[[DataFrame], None]]], folder: str | None = None) -> dict[str, int]:
+    """Runs a stream over what is there and gives each batch to the handlers of each event type in column `kind`.
+
+    A handler that fails keeps no other from its events; the number of failures of each type is returned. A batch is
+    given again if its writing fails in between, so handlers must bear repetition.
+    """
+    failed = dict.fromkeys(handlers, 0)
+    place = f"{(folder or shared_folder(stream.sparkSession)).rstrip('/')}/emit-{stream.sparkSession.range(1).select(F.uuid()).first()[0]}"
+
+    def give(batch: DataFrame, number: int) -> None:
+        for name, some in handlers.items():
+            for handler in some:
+                try:
+                    handler(batch.where(F.col(kind) == name))
+                except Exception:  # noqa: BLE001 - whatever a handler does
+                    failed[name] += 1
+
+    stream.writeStream.option("checkpointLocation", place).trigger(availableNow=True).foreachBatch(give).start().awaitTermination()
+    return failed
+
+
 def run_once(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Runs a stream over what is there, and returns what it wrote, with the number of its `batch`.
 
