@@ -48,7 +48,17 @@ def rules_forward_chain(spark, folder):
     return R.forward_chain(triples(spark, folder), RULES, rounds=20).select("s", "r", "o")
 
 
-@query("rules_forward_report")
+def _rounds_sql(rounds: int) -> str:
+    parts = ["k0 AS (SELECT s, r, o FROM f)"]
+    for n in range(1, rounds + 1):
+        k = f"k{n - 1}"
+        parts.append(f"r{n} AS (SELECT DISTINCT a.s, b.r, b.o FROM {k} a JOIN {k} b ON a.o = b.s WHERE a.r = 'part_of' AND b.r IN ('part_of', 'located_in') AND a.s <> b.o EXCEPT SELECT s, r, o FROM {k})")
+        parts.append(f"k{n} AS (SELECT * FROM {k} UNION ALL SELECT * FROM r{n})")
+    found = " UNION ALL ".join(f"SELECT r, {n} AS round FROM r{n}" for n in range(1, rounds + 1))
+    return f"WITH {FACTS}, {', '.join(parts)}, x AS ({found}) SELECT CASE r WHEN 'part_of' THEN 'part_of_transitivity' ELSE 'located_in_inheritance' END AS rule, round, count(*) AS n, CASE r WHEN 'part_of' THEN 0.85 ELSE 0.8 END::DOUBLE AS confidence FROM x GROUP BY ALL"
+
+
+@query("rules_forward_report", _rounds_sql(8))
 def rules_forward_report(spark, folder):
     return R.forward_chain(triples(spark, folder), RULES, rounds=20).groupBy("rule", "round").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
