@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +53,21 @@ def word_table(counts: DataFrame, leaf: int, most: int) -> tuple[int, np.ndarray
     return leaf, h[order], t.column("n").to_numpy()[order]
 
 
-def _labels(table, total: int, leaf: int, room: int, least: float, recall: float, depth: int, seed: int):
+def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted values."""
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x if len(values) else np.zeros(len(x), bool)
+
+
+def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after the other."""
+    return np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
+def _labels(table, total: int, leaf: int, room: int, least: float, recall: float, depth: int, seed: int, hot=None):
     """Turns (src, id, words) into a row for each region the record is in: its key, and what the comparison there needs.
 
-    table is a broadcast of the hashes and counts of the common words.
+    table is a broadcast of the hashes and counts of the common words, hot one of the sorted keys of hot regions: only
+    their rows carry the hashes of the words.
     """
 
     max_trees = 512  # trees_by_depth goes no deeper than that allows
@@ -85,11 +97,16 @@ def _labels(table, total: int, leaf: int, room: int, least: float, recall: float
             src = pd.util.hash_array(np.array(batch.column("src").to_pylist(), dtype=object), categorize=False)
             owner = np.repeat(np.arange(len(size)), size)
             need = np.ceil(least * size - 1e-9).astype("i8")  # words that a linked record shares at least
+            full = h[which]
 
             def rows(key: np.ndarray, at: np.ndarray, tree: int) -> pa.RecordBatch:
                 key = (key ^ src[at]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(tree)
+                key = key.view("i8")
                 i = pa.array(at)
-                return pa.RecordBatch.from_arrays([pa.array(key.view("i8")), batch.column("src").take(i), batch.column("id").take(i), pa.array(s1[at].view("i8")), pa.array(s2[at].view("i8")), pa.array(size[at].astype("i4"))], names=["key", "src", "id", "s1", "s2", "n"])
+                many = np.where(_among(key, hot.value), size[at], 0) if hot is not None else np.zeros(len(at), "i8")
+                offsets = np.r_[0, np.cumsum(8 * many)].astype("i4")
+                held = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(full[_ranges(base[at], many)])])
+                return pa.RecordBatch.from_arrays([pa.array(key), batch.column("src").take(i), batch.column("id").take(i), pa.array(s1[at].view("i8")), pa.array(s2[at].view("i8")), pa.array(size[at].astype("i4")), held], names=["key", "src", "id", "s1", "s2", "n", "held"])
 
             # Exact for pairs that share a rare word: rare words first, one is in the first n - need + 1 of both.
             rare = (df <= leaf)[which]
@@ -146,36 +163,43 @@ def _labels(table, total: int, leaf: int, room: int, least: float, recall: float
     return label
 
 
-def _pairs(least: float, large: int = 1000):
+def _pairs(least: float):
     """Pairs of one region whose sketches don't rule the similarity out; batches come sorted by key.
 
-    In a region of more than `large` records, or of two blocks, pairs already linked through others there are left
-    out, so a hot group gives about a pair a member; every record is still compared with all it isn't linked to.
+    In a hot region, the rows of which hold their words, the pairs are checked exactly, and those linked already
+    through others there are left out, so a hot group gives about a pair a member. Only links that hold join groups:
+    a sketch can't show that two records are similar, as words that meet in a bit hide each other.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = (1 - least) / (1 + least)
         held: pa.Table | None = None
 
-        def linked(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def linked(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, block: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             group, left, right = np.arange(len(n)), [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+            values, code = np.unique(np.frombuffer(b"".join(words.to_pylist()), "u8"), return_inverse=True)
+            many = n.astype("i8")
+            start, mine = np.cumsum(many) - many, np.zeros(len(values), bool)
             across = block[0] != block[-1]  # sorted by block: two blocks are compared with each other only
             begin = int(np.searchsorted(block, block[-1])) if across else 0
             for i in range(begin if across else len(n) - 1):
                 after = max(i + 1, begin)
                 to = after + np.flatnonzero(group[after:] != group[i])
                 differ = np.bitwise_count(s1[i] ^ s1[to]).astype("f8") + np.bitwise_count(s2[i] ^ s2[to])
-                bound = share * (n[i] + n[to]) + 1e-9
-                keep = (differ <= bound) & (np.minimum(n[i], n[to]) >= least * np.maximum(n[i], n[to]) - 1e-9)
-                to, sure = to[keep], (differ + 4 <= bound)[keep]  # two collisions of bits may hide four words
+                to = to[(differ <= share * (n[i] + n[to]) + 1e-9) & (np.minimum(n[i], n[to]) >= least * np.maximum(n[i], n[to]) - 1e-9)]
+                if not len(to):
+                    continue
+                own = code[start[i] : start[i] + many[i]]
+                mine[own] = True
+                shared = np.add.reduceat(mine[code[_ranges(start[to], many[to])]], np.cumsum(many[to]) - many[to], dtype="i8")
+                mine[own] = False
+                to = to[shared >= least * (n[i] + n[to] - shared) - 1e-9]
                 if len(to):
-                    of = group[to[sure]]
-                    one, at = np.unique(of, return_index=True) if len(of) and of.min() != of.max() else (of[:1], np.zeros(min(1, len(of)), "i8"))
-                    to = np.concatenate([to[~sure], to[sure][at]])  # a link to each group is enough
+                    one, at = np.unique(group[to], return_index=True)
+                    to = to[at]  # a link to each group is enough
                     left.append(np.full(len(to), i))
                     right.append(to)
-                    if len(one):
-                        group[group == one[0] if len(one) == 1 else np.isin(group, one)] = group[i]
+                    group[group == one[0] if len(one) == 1 else np.isin(group, one)] = group[i]
             return np.concatenate(left), np.concatenate(right)
 
         def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -184,11 +208,11 @@ def _pairs(least: float, large: int = 1000):
             s = [t.column(c).to_numpy().view("u8") for c in ("s1", "s2")]
             src, ids = t.column("src").combine_chunks(), t.column("id").combine_chunks()
             cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            big = np.repeat(np.diff(cuts) > large, np.diff(cuts))
-            big |= np.repeat(block[cuts[:-1]] != block[cuts[1:] - 1], np.diff(cuts))
+            words = t.column("held").combine_chunks()
+            big = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
             for a, z in zip(cuts[:-1], cuts[1:]):
                 if big[a]:
-                    left, right = linked(n[a:z], s[0][a:z], s[1][a:z], block[a:z])
+                    left, right = linked(n[a:z], s[0][a:z], s[1][a:z], block[a:z], words[a:z])
                     i, j = pa.array(left + a), pa.array(right + a)
                     yield pa.RecordBatch.from_arrays([src.take(i), ids.take(i), ids.take(j)], names=["src", "a", "b"])
             at, step = np.flatnonzero(~big), 1
@@ -219,21 +243,29 @@ def _pairs(least: float, large: int = 1000):
     return pairs
 
 
-def _in_blocks(forest: DataFrame, sampled: DataFrame, every: int, block: int) -> DataFrame:
-    """The rows of forest with `block`; those of a hot region once for each pair of blocks their block is in.
+def _hot_regions(sampled: DataFrame, every: int, large: int, block: int) -> DataFrame:
+    """(key, blocks) of the regions with more than about `large` rows, by those of a sample of one in `every`.
+
+    One of more than about `block` rows has blocks of half as many. At most rows / large regions are hot.
+    """
+    rows = F.col("count") * every
+    blocks = F.when(rows > block, F.ceil(2 * rows / block)).otherwise(1).cast("int")
+    return checkpoint(sampled.groupBy("key").count().where(rows > min(large, block)).select("key", blocks.alias("blocks")))
+
+
+def _in_blocks(forest: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of forest with `block`; those of a region in blocks once for each pair of blocks their block is in.
 
-    A region with more than about `block` rows, by those of a sample of one in `every`, is dealt into blocks of half as
-    many, and each pair of blocks is a region of its own, so a task holds about `block` rows. Nothing is left out, and
-    a region is the same whether the sample shows it or not; at most rows / block regions are broadcast.
+    The region is dealt into its blocks, and each pair of blocks is a region of its own, so a task holds as many rows
+    as two blocks have. Nothing is left out, and a region is the same whether the sample shows it or not.
     """
-    hot = sampled.groupBy("key").count().where(F.col("count") * every > block).select("key", F.ceil(2 * F.col("count") * every / block).cast("int").alias("blocks"))
-    rows = forest.join(F.broadcast(hot), "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int"))
+    rows = forest.join(F.broadcast(hot.where("blocks > 1")), "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
     key = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")))
-    return rows.select(key.alias("key"), "block", "src", "id", "s1", "s2", "n")
+    return rows.select(key.alias("key"), "block", "src", "id", "s1", "s2", "n", "held")
 
 
-def near_duplicates(df: DataFrame, least: float = 0.6, fewest: int = 6, recall: float = 0.99, leaf: int = 48, most_common: int = 2_000_000, depth: int = 4, block: int = 32_000, every: int = 32, seed: int = 5) -> DataFrame:
+def near_duplicates(df: DataFrame, least: float = 0.6, fewest: int = 6, recall: float = 0.99, leaf: int = 48, most_common: int = 2_000_000, depth: int = 4, block: int = 32_000, every: int = 32, seed: int = 5, large: int = 1000) -> DataFrame:
     """(src, id, group): the records that have a near-duplicate, with the smallest id of their group.
 
     df has src, id (bigint) and text. Within one src two records are linked if the Jaccard similarity of their
@@ -247,7 +279,9 @@ def near_duplicates(df: DataFrame, least: float = 0.6, fewest: int = 6, recall:
     expected region is at most about 4 * `leaf` records, up to `depth` words (more would take hundreds of trees). The deeper a label, the more trees
     have it, so that a pair at `least` meets with a chance of `recall` at any depth (trees_by_depth). In a
     region pairs are ruled out by a 128-bit odd sketch (it never rules out a true link), the rest is checked exactly.
-    No region is cut; one of more than about `block` records is compared in pairs of blocks, a task each.
+    No region is cut. In one of more than about `large` records pairs are checked by the words at once, and those
+    linked through others are left out; one of more than about `block` records, fewer if they have many words, is
+    compared in pairs of blocks, a task each.
 
     The word counts cover all records. Words in more than `leaf` records are broadcast as hashes with their counts,
     `most_common` (of 16 bytes each) at most: only if there are more does leaf grow (word_table). Equal word sets are
@@ -263,9 +297,12 @@ def near_duplicates(df: DataFrame, least: float = 0.6, fewest: int = 6, recall:
     total = max(1, sets.count())
     leaf, hashes, counts = word_table(sets.select(F.explode("words").alias("w")).groupBy("w").count(), leaf, most_common)
     table = df.sparkSession.sparkContext.broadcast((hashes, counts))
-    label = _labels(table, total, leaf, 4 * leaf, least, recall, depth, seed)
-    regions = lambda some: some.select("src", "id", "words").mapInArrow(label, "key bigint, src string, id bigint, s1 bigint, s2 bigint, n int")
-    forest = _in_blocks(regions(sets), regions(sets.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)), every, block)
+    mean = sets.agg(F.avg(F.size("words"))).first()[0] or 1
+    block = max(2, min(block, int(8_000_000 / mean)))  # 64 MB of hashes
+    regions = lambda some, keys=None: some.select("src", "id", "words").mapInArrow(_labels(table, total, leaf, 4 * leaf, least, recall, depth, seed, keys), "key bigint, src string, id bigint, s1 bigint, s2 bigint, n int, held binary")
+    hot = _hot_regions(regions(sets.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)), every, large, block)
+    keys = df.sparkSession.sparkContext.broadcast(np.sort(hot.select("key").toArrow().column("key").to_numpy()))
+    forest = _in_blocks(regions(sets, keys), hot)
     near = forest.repartition("key").sortWithinPartitions("key", "block").mapInArrow(_pairs(least), "src string, a bigint, b bigint")
     near = near.select("src", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     left = sets.select("src", F.col("id").alias("a"), F.col("words").alias("wa"))

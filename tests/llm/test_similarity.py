@@ -181,6 +181,16 @@ def test_hot_group(spark, how):
     assert sorted(tuple(r) for r in groups.where("id < 10000").collect()) == [("s", i, 0) for i in range(6000)]
 
 
+def test_hot_region_of_long_records(spark):
+    # Half of 400 words each: the sketches are too small to show how much two of them differ.
+    rng = random.Random(7)
+    vocabulary = [f"c{i}" for i in range(400)]
+    texts = [rng.sample(vocabulary, 200) for _ in range(200)]
+    rows = [("s", i, " ".join(w)) for i, w in enumerate(texts)] + [("s", 1000 + i, " ".join(texts[i][:196])) for i in range(30)]
+    groups = near_duplicates(spark.createDataFrame(rows, "src string, id bigint, text string"), block=40, every=1)
+    assert {(r.id_a, r.id_b) for r in group_pairs(groups).collect()} == {(i, 1000 + i) for i in range(30)}
+
+
 GIVEN = [("Isabella", "Bella"), ("Ernestine", "Erna"), ("Harriet", "Hattie"), ("Augusta", "Gussie"), ("Gertrude", "Trudi"), ("Theodore", "Theo"), ("Theodora", "Dora"), ("Anthony", "Tony")]
 SAME = [["Isabella Tokhekafalbus", "Bella Tokhekafalbus", "Tokhekafalbus, Isabella", "ISABELLA TOKHEKAFALBUS", "Isabella M. Tokhekafálbus", "Isabela Tokhekafalbus", "isabella_tokhekafalbus", "IsabellaTokhekafalbus", "I. Tokhekafalbus", "Dr. Isabella Tokhekafablus"], ["Harriet Somrijejakror", "H. Somrijejakror"], ["Augusta Somrijejakror", "Augu. Somrijejakror"], ["Anthony Somrijejakror"], ["Ernestine Pudnigevemtus", "Erna Pudnigevemtus"], ["Theodore Pudnigevemtus"]]
 FIRMS = [["Metpelilakden Services AG", "Metpelilakden Services", "The Metpelilakden Services AG", "Services Metpelilakden", "Metpelilakden Svcs AG"], ["Metpelilakden Museum Ltd", "Metpelilakden Musuem Ltd", "Metpelilakden Limited"], ["Hasfujesavgen Insurance GmbH", "Hasfu-jesavgen Insurance G.m.b.H.", "Hasfujesavgen Ins."]]
