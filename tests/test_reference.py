@@ -1,5 +1,6 @@
 """The reference's own operators on small hand-made inputs with expected values worked out by hand."""
 
+import json
 import random
 import time
 
@@ -233,23 +234,39 @@ def test_supported(spark):
     assert {r.supported for r in R.supported(claims, items.limit(0), []).collect()} == {False} and R.supported(claims.limit(0), items, []).count() == 0
 
 
-def test_supported_in_proportion(spark):
-    # Two of three common words in every item, never all three; a claim has all three and a word of its own.
-    claims = spark.createDataFrame([(i, f"x y z claim{i}") for i in range(3000)], "cid bigint, text string")
-    items = spark.createDataFrame([(i, ["x y", "x z", "y z"][i % 3] + (f" claim{i}" if i < 5 else "")) for i in range(3000)], "id bigint, text string")
+def shuffled(spark, act):
+    """What act returns, and the bytes it shuffles with joins as for large tables."""
 
-    def shuffled():
+    def written():
         sc = spark.sparkContext._jsc.sc()
         sc.listenerBus().waitUntilEmpty()
         return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
 
-    limit, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled()
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    limit, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert {r.cid for r in R.supported(claims, items, []).where("supported").collect()} == set(range(5))
+        return act(), written() - before
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    assert shuffled() - before < 5_000_000
+
+
+def test_supported_in_proportion(spark):
+    # Two of three common words in every item, never all three; a claim has all three and a word of its own.
+    claims = spark.createDataFrame([(i, f"x y z claim{i}") for i in range(3000)], "cid bigint, text string")
+    items = spark.createDataFrame([(i, ["x y", "x z", "y z"][i % 3] + (f" claim{i}" if i < 5 else "")) for i in range(3000)], "id bigint, text string")
+    got, written = shuffled(spark, lambda: R.supported(claims, items, []).where("supported").collect())
+    assert {r.cid for r in got} == set(range(5)) and written < 5_000_000
+
+
+def test_consistency_in_proportion(spark, tmp_path):
+    from recallix.plans.state import replies_consistency
+
+    said = json.dumps([{"id": 1, "role": "assistant", "content": "xx yy zz own%d", "timestamp": 1.0}])
+    spark.createDataFrame([(i, "s", "u", said % i) for i in range(3000)], "id bigint, session_id string, user_id string, messages string").write.parquet(f"{tmp_path}/episodes.parquet")
+    items = [(i, ["xx yy", "xx zz", "yy zz"][i % 3] + (f" own{i}" if i < 5 else ""), [0.0]) for i in range(3000)]
+    spark.createDataFrame(items, "id bigint, text string, embedding array<float>").write.parquet(f"{tmp_path}/knowledge_items.parquet")
+    got, written = shuffled(spark, lambda: replies_consistency(spark, str(tmp_path)).where("consistent").collect())
+    assert {(r.episode, r.support) for r in got} == {(i, 1.0) for i in range(5)} and written < 5_000_000
 
 
 def test_streams(spark, small):
